@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup
+from . import exact_dedup, token_counts, token_files
+from .storage import work_path
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so each run does the whole work."""
+    counts = token_counts.count_tokens(_docs(spark, sf_dir), work_path(spark, "token-counts"), PIECE_BPE)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_docs(spark, sf_dir), digest=True)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(_docs(spark, sf_dir), work_path(spark, "token-files"), BYTE_BPE)
+    return token_files.read_documents(manifest)
+
+
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLES = {
