@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup, token_counts, token_files
+from . import bpe_chunks, exact_dedup, language, mixing, quality, sanitise, simhash, spotsigs, token_counts, token_files
 from .storage import work_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,12 +17,39 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digests(bpe_chunks.decode(bpe_chunks.encode(_docs(spark, sf_dir), BYTE_BPE), BYTE_BPE))
+
+
+def with_digests(coded: DataFrame) -> DataFrame:
+    """Of (doc_id, ids, decoded): doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.with_copies(_docs(spark, sf_dir), carry=[])
+    return drawn.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so each run does the whole work."""
     counts = token_counts.count_tokens(_docs(spark, sf_dir), work_path(spark, "token-counts"), PIECE_BPE)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(_docs(spark, sf_dir))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_docs(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_docs(spark, sf_dir), digest=True)
 
@@ -32,13 +59,57 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(_docs(spark, sf_dir))
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = spotsigs.compare_with_edits(_docs(spark, sf_dir))
+    return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
+    "op5_language": op5_language,
+    "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_files": op8_token_files,
+    "op9_pii": op9_pii,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLES = {
+    "op2_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                 md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+        ), s AS (
+          SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+        ), r AS (
+          SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s
+        ), c AS (
+          SELECT *, 1 + (k - 1) % 3 AS w, source_size * 3 AS cap, source_size * 3 / CAST(1 + (k - 1) % 3 AS DOUBLE) AS ratio FROM r
+        ), v AS (
+          SELECT *, CAST((sum(source_size) OVER ()) - coalesce(sum(cap) OVER o, 0) AS DOUBLE)
+                  / CAST((sum(w) OVER ()) - coalesce(sum(w) OVER o, 0) AS DOUBLE) AS level
+          FROM c WINDOW o AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (
+          SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT arg_min(level, (ratio, k)) FROM v WHERE ratio >= level) * w, CAST(cap AS DOUBLE))) AS target,
+                 CAST(CAST('0x' || substr(md5('20240:' || coalesce('s' || source, 'n')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
+          FROM v
+        ), n AS (
+          SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+                 row_number() OVER (PARTITION BY d.source ORDER BY
+                   CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)) % 8 END,
+                   substr(h, 1, 1) || translate(substr(h, 2, 1), '0123456789abcdef', '0000111122223333'), size, h) AS place
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), m AS (
+          SELECT *, CAST(least(floor(rate * place + u) - floor(rate * (place - 1) + u), ceil(rate)) AS BIGINT) AS copies FROM n
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies * size AS taken, copies FROM m""",
     "op7_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
