@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import aggregates, base, merges, ordering, windows  # noqa: F401  each family registers itself
+
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
