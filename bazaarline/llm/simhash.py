@@ -2,13 +2,20 @@
 
 Fingerprints within ``distance`` bits are linked; a component is what links
 reach. Documents are first reduced to distinct fingerprints, so copies cost
-nothing further. Two fingerprints within ``distance`` bits agree in one of
-``distance + 1`` blocks of bits: for each block, fingerprints are arranged with
-that block in front and sorted by Gray rank, so that equal fronts lie together
-and neighbours share long bit patterns. The sorted run is cut into leaves, each
-with the mask of the bits all its members share; leaves form upper nodes in the
-same way. Two nodes whose shared bits already differ in more than ``distance``
-places are pruned with all below them.
+nothing further. Fingerprints are arranged with some block of their bits in
+front and sorted by Gray rank, so that equal fronts lie together and neighbours
+share long bit patterns. The sorted run is cut into leaves, each with the mask of
+the bits all its members share; leaves form upper nodes in the same way. Two
+nodes whose shared bits already differ in more than ``distance`` places are
+pruned with all below them.
+
+With one word of 64 bits and a front for each of ``distance + 1`` blocks the
+search is exact: fingerprints within ``distance`` bits agree in one block. Texts
+alike to 0.8 by their shingles differ in about ten of 64 bits, beyond what any
+front can catch, so for those fingerprints have ``words`` words, from as many
+hashes of each shingle, and all their blocks serve as fronts: with 8 words a pair
+at 0.8 meets in one of 32 fronts of 16 bits with a chance of about 0.9, at 0.85 of
+0.97, and is then judged by all 512 bits.
 
 A front's members that lie in one leaf are linked where the sort put them. A hot
 front fills many leaves, over many tasks; its surviving pairs of leaves are dealt
@@ -24,7 +31,6 @@ rows; columns other than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,54 +43,75 @@ from .storage import drop, keep, kept
 
 SHINGLE = 3
 DISTANCE = 3
+#: For texts alike to 0.8 by their sets of shingles: words of a fingerprint, bits of a front, differing bits allowed.
+WIDE_WORDS, WIDE_BAND, WIDE_DISTANCE = 8, 16, 84
 SEED = 42
 #: Fingerprints in a leaf, members of a node inside it, leaves in an upper node.
 LEAF, NODE, UPPER = 512, 16, 32
+#: Fronts of up to so many members are compared together.
+TOGETHER = 0
 _BITS = 64
+#: Stands for a null id, so that it never names a component.
+_NO_ID = (1 << 63) - 1
+
+
+def _rehashed(h: np.ndarray, words: int) -> np.ndarray:
+    """(n, words): the hash itself, then further ones mixed from it."""
+    out = np.empty((len(h), words), np.uint64)
+    out[:, 0] = h
+    for k in range(1, words):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of a whole text."""
+def fingerprint(text: str, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    """The signed 64-bit words of a whole text's fingerprint."""
     found = text.encode("utf-8").lower().split()  # bytes: only A-Z and ASCII white space
     if not found:
-        return 0
+        return [0] * words
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     n = max(1, len(found) - shingle + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(_BITS, np.int64)
-    for at in range(0, n, 8192):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 8192], stops[at : at + 8192], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    counts, step = np.zeros(_BITS * words, np.int64), 8192 // words
+    for at in range(0, n, step):
+        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + step], stops[at : at + step], strict=True)], np.uint64)
+        bits = np.unpackbits(_rehashed(h, words).view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int32)
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(_id, _fp) per row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """(_id, _fp) per row; ``_fp`` is an array of ``words`` longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(fps, pa.int64())], ["_id", "_fp"])
+            fps = [fingerprint(t.as_py(), shingle, words) for t in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(fps, pa.list_(pa.int64()))], ["_id", "_fp"])
 
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    return own.mapInArrow(run, "_id long, _fp long")
+    return own.mapInArrow(run, "_id long, _fp array<long>")
 
 
 # ---- the index -------------------------------------------------------------
 
 
-def _arrangements(distance: int, blocks: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """(bit ranges in their new order, width of the front) for each choice of blocks that can agree."""
+def _arrangements(words: int, distance: int, band: int | None) -> list[tuple[int, list[tuple[int, int]], int]]:
+    """(word, its bit ranges in their new order, width of the front) of each arrangement.
+
+    Without ``band`` there are ``distance + 1`` blocks of one word, and the search is exact.
+    """
+    if band is None and words > 1:
+        raise ValueError("an exact search takes one word")
+    blocks = distance + 1 if band is None else _BITS // band
     edges = [round(_BITS * k / blocks) for k in range(blocks + 1)]
     ranges = list(zip(edges, edges[1:], strict=False))
-    out = []
-    for front in combinations(range(blocks), blocks - distance):
-        order = [*front, *(k for k in range(blocks) if k not in front)]
-        out.append(([ranges[k] for k in order], sum(ranges[k][1] - ranges[k][0] for k in front)))
-    return out
+    return [(w, [r, *(x for x in ranges if x != r)], r[1] - r[0]) for w in range(words) for r in ranges]
 
 
 def _arranged(fp: Column, order: list[tuple[int, int]]) -> Column:
@@ -107,28 +134,30 @@ def _with_gray_rank(df: DataFrame, x: str) -> DataFrame:
 
 
 def _shared(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mask of the bits that all of a row share, their pattern) of each row."""
-    both, any_ = np.bitwise_and.reduce(members, axis=-1), np.bitwise_or.reduce(members, axis=-1)
+    """(mask of the bits that all of a node share, their pattern); members of a node are on the last axis but one."""
+    both, any_ = np.bitwise_and.reduce(members, axis=-2), np.bitwise_or.reduce(members, axis=-2)
     mask = ~(both ^ any_)
     return mask, both & mask
 
 
+def _apart(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64)).sum(-1, dtype=np.int32)  # of signed numbers it counts the magnitude's bits
+
+
 def _near_pairs(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the near pairs between two Gray-ordered runs, node by node."""
-    if len(a) * len(b) <= NODE * NODE:
-        i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= distance)
-        return i, j
+    """Positions of the near pairs between two Gray-ordered runs of (n, words), node by node."""
+    if len(a) * len(b) <= 4 * NODE * NODE:
+        return np.nonzero(_apart(a[:, None] ^ b[None, :]) <= distance)
     runs = []
     for run in (a, b):
         idx = np.minimum(np.arange(-(-len(run) // NODE) * NODE), len(run) - 1).reshape(-1, NODE)
         runs.append((idx, run[idx], *_shared(run[idx])))
     (ia, va, ma, pa_), (ib, vb, mb, pb) = runs
-    apart = np.bitwise_count((pa_[:, None] ^ pb[None, :]) & ma[:, None] & mb[None, :])
-    na, nb = np.nonzero(apart <= distance)
+    na, nb = np.nonzero(_apart((pa_[:, None] ^ pb[None, :]) & ma[:, None] & mb[None, :]) <= distance)
     found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(na), 1024):
-        x, y = na[at : at + 1024], nb[at : at + 1024]
-        k, i, j = np.nonzero(np.bitwise_count(va[x][:, :, None] ^ vb[y][:, None, :]) <= distance)
+    for at in range(0, len(na), 512):
+        x, y = na[at : at + 512], nb[at : at + 512]
+        k, i, j = np.nonzero(_apart(va[x][:, :, None] ^ vb[y][:, None, :]) <= distance)
         found_i.append(ia[x[k], i])
         found_j.append(ib[y[k], j])
     return np.concatenate(found_i), np.concatenate(found_j)
@@ -153,29 +182,45 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _links(a: np.ndarray, b: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (fingerprint, root fingerprint) within one leaf or between two."""
+    """Spanning links (node, root) within one leaf or between two; column 0 of a leaf has the nodes, the others the words."""
     if b is None:
-        i, j = _near_pairs(a, a, distance)
-        every = a
+        i, j = _near_pairs(a[:, 1:], a[:, 1:], distance)
+        every = a[:, 0]
     else:
-        i, j = _near_pairs(a, b, distance)
-        every, j = np.concatenate([a, b]), j + len(a)
-    node, root = _forest(len(every), i, j)
+        i, j = _near_pairs(a[:, 1:], b[:, 1:], distance)
+        every, j = np.concatenate([a[:, 0], b[:, 0]]), j + len(a)
+    apart = i < j
+    if not apart.any():
+        return every[:0], every[:0]
+    node, root = _forest(len(every), i[apart], j[apart])
     return every[node], every[root]
 
 
+def _links_together(rows: np.ndarray, starts: np.ndarray, size: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning links of many groups of ``size`` consecutive rows."""
+    step = max(1, (1 << 20) // (size * size * (rows.shape[1] - 1)))
+    for at in range(0, len(starts), step):
+        groups = rows[starts[at : at + step, None] + np.arange(size)]
+        near = _apart(groups[:, :, None, 1:] ^ groups[:, None, :, 1:]) <= distance
+        near &= np.triu(np.ones((size, size), bool), 1)
+        for k in np.nonzero(near.any((1, 2)))[0].tolist():
+            node, root = _forest(size, *np.nonzero(near[k]))
+            yield groups[k, node, 0], groups[k, root, 0]
+
+
 _FOUND = pa.schema(
     [("a", pa.int64()), ("b", pa.int64()), ("arrangement", pa.int32()), ("front", pa.int64()), ("leaf", pa.int64()), ("upper", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("members", pa.binary())]
 )
 _FOUND_DDL = "a long, b long, arrangement int, front long, leaf long, upper long, mask long, pattern long, members binary"
 
 
-def _cut_leaves(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (arrangement, front, fp) to links of fronts in one leaf, and leaves of all other fronts."""
+def _cut_leaves(batches: Iterator[pa.RecordBatch], arranged: list[int], words: int, distance: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (arrangement, front, node, fp) to links of fronts in one leaf, and leaves of all other fronts."""
     task, count = TaskContext.get().partitionId() << 36, 0
     edges: list[tuple[np.ndarray, np.ndarray]] = []
     leaves: list[dict] = []
-    front, run, first_front, parts = None, np.empty(0, np.int64), True, 0
+    none = np.empty((0, 1 + words), np.int64)
+    front, run, first_front, parts = None, none, True, 0
 
     def emit(ended: bool) -> None:
         """The run is one leaf: link it if its front surely lies in it alone."""
@@ -186,16 +231,16 @@ def _cut_leaves(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
             if len(run) > 1:
                 edges.append(_links(run, None, distance))
             return
-        mask, pattern = _shared(run[None, :])
-        leaves.append({"arrangement": front[0], "front": front[1], "leaf": task + count, "upper": task + count // UPPER, "mask": int(mask[0]), "pattern": int(pattern[0]), "members": run.tobytes()})
+        mask, pattern = (int(x[1 + arranged[front[0]]]) for x in _shared(run))  # of the word that the sort arranged
+        leaves.append({"arrangement": front[0], "front": front[1], "leaf": task + count, "upper": task + count // UPPER, "mask": mask, "pattern": pattern, "members": run.tobytes()})
         count, parts = count + 1, parts + 1
 
     def out(last: bool = False) -> Iterator[pa.RecordBatch]:
         if last or sum(len(e[0]) for e in edges) + len(leaves) > 4096:
             if edges:
                 a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
-                none = [pa.nulls(len(a), f.type) for f in list(_FOUND)[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], schema=_FOUND)
+                empty = [pa.nulls(len(a), f.type) for f in list(_FOUND)[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *empty], schema=_FOUND)
                 edges.clear()
             if leaves:
                 yield pa.RecordBatch.from_pylist(leaves, schema=_FOUND)
@@ -204,36 +249,44 @@ def _cut_leaves(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        arr, fronts, fps = (batch.column(c).to_numpy() for c in ("_arrangement", "_front", "_fp"))
+        arr, fronts, nodes = (batch.column(c).to_numpy() for c in ("_arrangement", "_front", "_node"))
+        rows = np.column_stack([nodes, batch.column("_fp").flatten().to_numpy().reshape(-1, words)])
         cuts = np.nonzero((arr[1:] != arr[:-1]) | (fronts[1:] != fronts[:-1]))[0] + 1
-        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fps)], strict=True):
+        starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows)]])
+        # fronts that begin and end within the batch are small and many: all of a size go together
+        inner_starts, sizes = starts[1:-1], (stops - starts)[1:-1]
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= TOGETHER)]).tolist():
+            edges.extend(_links_together(rows, inner_starts[sizes == size], size, distance))
+        large = (np.nonzero(sizes > TOGETHER)[0] + 1).tolist()
+        for k in dict.fromkeys([0, *large, len(starts) - 1]):
+            low, high = int(starts[k]), int(stops[k])
             here = (int(arr[low]), int(fronts[low]))
             if front is not None and here != front:
                 emit(True)
-                run, parts, first_front = np.empty(0, np.int64), 0, False
+                run, parts, first_front = none, 0, False
             front = here
-            run = np.concatenate([run, fps[low:high]])
+            run = np.concatenate([run, rows[low:high]])
             while len(run) > LEAF:  # more of this front is known to follow
                 rest, run = run[LEAF:], run[:LEAF]
                 emit(False)
                 run = rest
-            yield from out()
+        yield from out()
     if front is not None:
         emit(False)  # the next task may hold more of the last front
     yield from out(last=True)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
-    """(a, b): a spanning set of links between the distinct fingerprints of column ``_fp``."""
-    blocks = blocks or distance + 1
-    ways = []
-    for k, (order, width) in enumerate(_arrangements(distance, blocks)):
-        x = _arranged(F.col("_fp"), order)
+def links(fps: DataFrame, words: int = 1, distance: int = DISTANCE, band: int | None = None) -> DataFrame:
+    """(a, b): a spanning set of links between the nodes of (_node, _fp)."""
+    ways, arranged = [], []
+    for k, (word, order, width) in enumerate(_arrangements(words, distance, band)):
+        x = _arranged(F.col("_fp")[word], order)
         ways.append(F.struct(F.lit(k).alias("_arrangement"), F.shiftrightunsigned(x, _BITS - width).alias("_front"), x.alias("_rank")))
-    placed = _with_gray_rank(fps.select("_fp", F.inline(F.array(*ways))), "_rank")
+        arranged.append(word)
+    placed = _with_gray_rank(fps.select("_node", "_fp", F.inline(F.array(*ways))), "_rank")
     # the rank begins with the front, so one sort brings fronts together and orders them within
     ordered = placed.repartitionByRange("_arrangement", "_rank").sortWithinPartitions("_arrangement", "_rank")
-    found = keep(ordered.select("_arrangement", "_front", "_fp").mapInArrow(lambda batches: _cut_leaves(batches, distance), _FOUND_DDL), "simhash-leaves")
+    found = keep(ordered.select("_arrangement", "_front", "_node", "_fp").mapInArrow(lambda batches: _cut_leaves(batches, arranged, words, distance), _FOUND_DDL), "simhash-leaves")
     leaves = found.where("members is not null").drop("a", "b")
     shared = F.bit_and("mask").bitwiseAND(F.bitwise_not(F.bit_or(F.col("pattern")).bitwiseXOR(F.bit_and(F.col("pattern").bitwiseOR(F.bitwise_not(F.col("mask")))))))
     nodes = leaves.groupBy("arrangement", "front", "upper").agg(shared.alias("m"), F.bit_and(F.col("pattern").bitwiseOR(F.bitwise_not(F.col("mask")))).alias("p"))
@@ -253,7 +306,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = (np.frombuffer(v.as_py(), np.int64) if v.is_valid else None for v in (x, y))
+                a, b = (np.frombuffer(v.as_py(), np.int64).reshape(-1, 1 + words) if v.is_valid else None for v in (x, y))
                 u, v = _links(a, b, distance)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
@@ -292,25 +345,33 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
-    rows = keep(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
-    distinct = keep(rows.groupBy("_fp").agg(F.min("_id").alias("_least")), "simhash-distinct")
-    stars = components(links(distinct.select("_fp"), distance, blocks)).withColumnRenamed("node", "_fp")
-    placed = keep(distinct.join(stars, "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")), "simhash-roots")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1, distance: int = DISTANCE, band: int | None = None) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits a word), component_id (the smallest id reachable)."""
+    rows = keep(fingerprints(docs, id_col, text_col, shingle, words), "simhash-rows")
+    distinct = keep(rows.groupBy("_fp").agg(F.min(F.coalesce("_id", F.lit(_NO_ID))).alias("_node")), "simhash-distinct")
+    # ids repeated with another text would share a node, so nodes are numbered by fingerprint where that matters
+    distinct = distinct.withColumn("_least", F.col("_node")).withColumn("_node", F.xxhash64("_fp") if words > 1 else F.col("_fp")[0])
+    stars = components(links(distinct.select("_node", "_fp"), words, distance, band)).withColumnRenamed("node", "_node")
+    placed = keep(distinct.select("_node", "_least").join(stars, "_node", "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root")), "simhash-roots")
     names = keep(placed.groupBy("_root").agg(F.min("_least").alias("component_id")), "simhash-names")
-    named = keep(placed.join(names, "_root").select("_fp", "component_id"), "simhash-named")
-    hexed = F.lower(F.lpad(F.hex("_fp"), 16, "0"))
-    return rows.join(named, "_fp").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    named = keep(placed.join(names, "_root").select("_node", F.nullif("component_id", F.lit(_NO_ID)).alias("component_id")), "simhash-named")
+    hexed = F.array_join(F.transform("_fp", lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))), "")
+    keyed = rows.withColumn("_node", F.xxhash64("_fp") if words > 1 else F.col("_fp")[0])
+    return keyed.join(named, "_node").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that name their component, all columns; of repeated ids one row stays.
 
-    Only ids go through the index; the texts are joined to the ids that stay.
+    Texts are only joined to the ids that stay.
     """
     names = docs.columns
     found = near_duplicates(docs, id_col, text_col, **how)
     stay = keep(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_stay")).distinct(), "simhash-stay")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_stay"))
     return boxed.join(stay, "_stay").groupBy("_stay").agg(F.first("_row").alias("_row")).select("_row.*")
+
+
+def drop_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`drop_near_duplicates` for texts alike to 0.8 by shingles of five words."""
+    return drop_near_duplicates(docs, id_col, text_col, shingle=5, words=WIDE_WORDS, distance=WIDE_DISTANCE, band=WIDE_BAND)

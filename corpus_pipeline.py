@@ -25,12 +25,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near fingerprints the document with the smallest id stays.
+    """Of each component of alike texts the document with the smallest id stays.
 
-    Shingles of five words, as for near-duplicates in general; fingerprints
-    within three bits stand for texts far more alike than 0.8.
+    Shingles of five words and a likeness of 0.8 or more, by fingerprints of 512
+    bits; three bits of 64 would find texts far more alike than that only.
     """
-    return simhash.drop_near_duplicates(docs, shingle=5)
+    return simhash.drop_alike(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
