@@ -37,6 +37,10 @@ def when_ts(name: str) -> Column:
     return F.col(name).cast("timestamp")
 
 
+def clock(at: str) -> Column:
+    return F.lit(at).cast("timestamp")
+
+
 def r2(x: str) -> str:
     """SQL of ``js_round(x, 2)``."""
     return f"(floor(({x}) * 100 + 0.5) / 100)"

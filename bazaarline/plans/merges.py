@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cents, js_round
 from ..functions.text import jaccard, slug_tokens, title_key
 from ..operators import dedup, merge
-from .base import AS_OF, EVENTS_AS_OF, c, query, table, when_ts
+from .base import AS_OF, EVENTS_AS_OF, c, clock, query, table, when_ts
 
-_NOW = F.lit(AS_OF).cast("timestamp")
 
 
 def _halves(spark, d):
@@ -38,7 +37,7 @@ def _(spark, d):
 )
 def _(spark, d):
     new, old = (x.select("url", "o_orderkey", "o_orderstatus", F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen")) for x in _halves(spark, d))
-    keep = (F.col("o_orderstatus") != "F") & (F.col("last_seen") >= _NOW - F.expr("INTERVAL 900 DAYS"))
+    keep = (F.col("o_orderstatus") != "F") & (F.col("last_seen") >= clock(AS_OF) - F.expr("INTERVAL 900 DAYS"))
     merged = merge.merge_history(new, old, "url", "first_seen", "last_seen", keep)
     return merged.select("url", "o_orderkey", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "stale")
 
@@ -80,7 +79,7 @@ def _(spark, d):
 def _(spark, d):
     s = F.col("o_orderstatus")
     status = F.when(s == "O", "active").when(s == "P", "candidate").otherwise("other")
-    age = F.floor((F.unix_micros(_NOW) - F.unix_micros(when_ts("o_orderdate"))) / 86_400_000_000)
+    age = F.floor((F.unix_micros(clock(AS_OF)) - F.unix_micros(when_ts("o_orderdate"))) / 86_400_000_000)
     return table(spark, d, "orders").select("o_orderkey", merge.expired(status, F.lit(None), age, F.col("o_custkey") % 50 == 0).alias("status"))
 
 
@@ -173,7 +172,7 @@ def _(spark, d):
 )
 def _(spark, d):
     people = table(spark, d, "customer").select("c_custkey", title_key(F.col("c_name"), 80).alias("title"), "c_acctbal")
-    ids = table(spark, d, "orders").where(when_ts("o_orderdate") >= _NOW - F.expr("INTERVAL 400 DAYS")).select(F.col("o_custkey").alias("c_custkey")).distinct()
+    ids = table(spark, d, "orders").where(when_ts("o_orderdate") >= clock(AS_OF) - F.expr("INTERVAL 400 DAYS")).select(F.col("o_custkey").alias("c_custkey")).distinct()
     return merge.without_listed(people, ids, "c_custkey", people.where("c_acctbal < -500"), "title").select("c_custkey")
 
 

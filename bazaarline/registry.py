@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from .plans import aggregates, base, merges, ordering, windows  # noqa: F401  each family registers itself
+from .plans import aggregates, base, domain, flagship, joins, merges, ordering, predicates, scalars, scans, streams, windows  # noqa: F401  each family registers itself
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
