@@ -49,7 +49,7 @@ SEED = 42
 #: Fingerprints in a leaf, members of a node inside it, leaves in an upper node.
 LEAF, NODE, UPPER = 512, 16, 32
 #: Fronts of up to so many members are compared together.
-TOGETHER = 0
+TOGETHER = 48
 _BITS = 64
 #: Stands for a null id, so that it never names a component.
 _NO_ID = (1 << 63) - 1
@@ -284,8 +284,9 @@ def links(fps: DataFrame, words: int = 1, distance: int = DISTANCE, band: int |
         ways.append(F.struct(F.lit(k).alias("_arrangement"), F.shiftrightunsigned(x, _BITS - width).alias("_front"), x.alias("_rank")))
         arranged.append(word)
     placed = _with_gray_rank(fps.select("_node", "_fp", F.inline(F.array(*ways))), "_rank")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work grows faster than the bytes
     # the rank begins with the front, so one sort brings fronts together and orders them within
-    ordered = placed.repartitionByRange("_arrangement", "_rank").sortWithinPartitions("_arrangement", "_rank")
+    ordered = placed.repartitionByRange(tasks, "_arrangement", "_rank").sortWithinPartitions("_arrangement", "_rank")
     found = keep(ordered.select("_arrangement", "_front", "_node", "_fp").mapInArrow(lambda batches: _cut_leaves(batches, arranged, words, distance), _FOUND_DDL), "simhash-leaves")
     leaves = found.where("members is not null").drop("a", "b")
     shared = F.bit_and("mask").bitwiseAND(F.bitwise_not(F.bit_or(F.col("pattern")).bitwiseXOR(F.bit_and(F.col("pattern").bitwiseOR(F.bitwise_not(F.col("mask")))))))
