@@ -81,7 +81,8 @@ def with_copies(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_src")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     blocks = keep(blocks.join(targets, "_src").withColumn("_offset", offset), "mix-offsets")
     inside = Window.partitionBy(*block).orderBy("size", "_md5", "_id")
-    ranked = rows.withColumn("_in_block", F.row_number().over(inside)).join(blocks, block)
+    # rows lie by block already, so only the other side moves; merging never gathers it on the driver
+    ranked = rows.withColumn("_in_block", F.row_number().over(inside)).join(blocks.hint("merge"), block)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = F.col("_before") + F.col("_in_block")
     crossed = F.floor(rate * upto + F.col("_offset")) - F.floor(rate * (upto - 1) + F.col("_offset"))

@@ -15,6 +15,8 @@ id and text are not read; a null id is the last in descending order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from .storage import keep
 
 #: Anchors: common words of English, French, German and Spanish.
 ANCHORS = (
-    "the of and to in is that for it as on are be this was with by an at or from "
+    "the a of and to in is that for it as on are be this was with by an at or from "
     "le la les de des du un une et en que qui est dans pour par sur au "
     "der die das und zu den von mit ist im ein eine nicht auf für "
     "el los las y es con por para del se su al una"
@@ -78,8 +80,8 @@ def jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
     return F.when(small >= large * F.lit(at_least), exact).otherwise(F.lit(0.0)) if at_least else exact
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (_id and more) with ``_next``, a struct of ``columns`` of the next row by descending id, the first after the last.
+def with_next(rows: DataFrame, enriched: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """``enriched(rows)`` (of _id, _tie and more) with ``_next``, a struct of ``columns`` of the next row by descending id, the first after the last.
 
     Rows are dealt to blocks of ids between quantiles and follow each other
     within their block; the last row of a block looks at the first of the next.
@@ -92,21 +94,26 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     block = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(known, lambda b: b < F.col("_id"))))
     order = Window.partitionBy("_block").orderBy(F.col("_id").desc_nulls_last(), "_tie")
     ahead = F.struct(*columns)
-    placed = rows.withColumn("_block", block).withColumn("_ahead", F.lead(ahead).over(order)).withColumn("_place", F.row_number().over(order))
+    dealt = rows.withColumn("_block", block)
+    placed = enriched(dealt).withColumn("_ahead", F.lead(ahead).over(order))
     blocks = keep(rows.select(block.alias("_block")).groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), "spot-blocks")
     down = Window.orderBy(F.col("_block").desc())  # one row per block
     follow = blocks.select("_block", F.coalesce(F.lead("_block").over(down), F.max("_block").over(Window.partitionBy())).alias("_follows"))
-    heads = placed.where("_place = 1").select(F.col("_block").alias("_follows"), ahead.alias("_head"))
+    first = dealt.withColumn("_place", F.row_number().over(order)).where("_place = 1")  # pruned to one row of a block and task first
+    heads = enriched(first).select(F.col("_block").alias("_follows"), ahead.alias("_head"))
     ends = follow.join(heads, "_follows").select("_block", "_head")
-    return placed.join(ends, "_block", "left").withColumn("_next", F.coalesce("_ahead", "_head")).drop("_ahead", "_head", "_place", "_block")
+    return placed.join(ends, "_block", "left").withColumn("_next", F.coalesce("_ahead", "_head")).drop("_ahead", "_head", "_block")
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, the text whose end is the next document's start, both fingerprints and likenesses."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
-    rows = rows.withColumn("_tie", F.xxhash64("_text")).withColumn("_norm", normalised(F.col("_text"))).withColumn("_sigs", signatures(F.col("_norm"))).drop("_norm")
-    pairs = with_next(rows, ["_text", "_sigs"]).withColumn("_n", F.length("_text")).withColumn("_half", F.floor(F.col("_n") / 2).cast("int"))
+
+    def signed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_norm", normalised(F.col("_text"))).withColumn("_sigs", signatures(F.col("_norm"))).drop("_norm")
+
+    pairs = with_next(rows.withColumn("_tie", F.xxhash64("_text")), signed, ["_text", "_sigs"]).withColumn("_n", F.length("_text")).withColumn("_half", F.floor(F.col("_n") / 2).cast("int"))
     pairs = pairs.withColumn("_edited", F.concat(F.expr("substring(_text, 1, _n - _half)"), F.expr("substring(_next._text, 1, _half)")))
     pairs = pairs.withColumn("_edited_norm", normalised(F.col("_edited"))).withColumn("_edited_sigs", signatures(F.col("_edited_norm")))
     return pairs.select(
