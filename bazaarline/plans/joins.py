@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round
 from ..functions.text import slug_tokens
-from ..operators import dedup, matching
+from ..operators import dedup, matching, peers
 from .base import query, r2, table
 from .domain import _TITLE, _titles
 
@@ -180,3 +180,18 @@ def _(spark, d):
     colours = F.array_intersect(tokens, F.array(*[F.lit(x) for x in ("red", "blue", "green", "black", "white")]))
     term = F.when(F.array_contains(tokens, "ring"), "ring").when(F.array_contains(tokens, "bolt"), "bolt")
     return table(spark, d, "part").select("p_partkey", term.alias("term"), F.size(colours).cast("long").alias("colours"))
+
+
+@query(
+    "jn_03_image_peers",
+    f"""WITH e AS (SELECT vec_id, label, embedding, CAST((vec_id * 37) % 199 + 2 AS DOUBLE) AS price FROM embeddings),
+        k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY price, vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM e),
+        m AS (SELECT c.vec_id, c.price, list_sort(list(r.price)) AS ps FROM k c JOIN k r ON c.label = r.label AND c.n >= 4 AND c.k <= ceil(c.n / 4) AND r.k > ceil(r.n / 4) AND list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) >= 0.15 GROUP BY ALL)
+        SELECT vec_id, len(ps) AS peers, {r2('list_sum(ps) / len(ps)')} AS average, ps[len(ps) // 2 + 1] AS median, floor((1 - price / ps[len(ps) // 2 + 1]) * 100 + 0.5) AS discount FROM m WHERE len(ps) >= 2 AND 1 - price / ps[len(ps) // 2 + 1] >= 0.5""",
+)
+def _(spark, d):
+    """The vectors are noise, so they count as alike from 0.15 on."""
+    rows = table(spark, d, "embeddings").withColumn("price", (F.col("vec_id") * 37 % 199 + 2).cast("double"))
+    found = peers.cheap_against_rest(rows, "label", "vec_id", "price", "embedding", 0.15)
+    off = 1 - F.col("price") / F.col("median")
+    return found.where(off >= 0.5).select("vec_id", "peers", js_round(F.col("mean"), 2).alias("average"), "median", js_round(off * 100, 0).alias("discount"))

@@ -49,6 +49,16 @@ def _(spark, d):
     return pages.with_fallback([one, two], "source", 8)
 
 
+@query("sc_05_nested_ads", "SELECT event_id, event_type AS subject, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS price FROM events WHERE event_type <> 'error' AND CAST(json_extract_string(props, '$.k') AS DOUBLE) <> 0")
+def _(spark, d):
+    """Listings lie at different depths by type; errors have none, and a price of 0 is no price."""
+    ad = F.concat(F.lit('[{"subject":"'), "event_type", F.lit('","price":'), F.get_json_object("props", "$.k"), F.lit("}]"))
+    deep = F.concat(F.lit('{"props":{"pageProps":{"data":[{"other":1},[{"results":{"ads":'), ad, F.lit("}}]]}}}"))
+    page = F.when(F.col("event_type") == "error", F.col("props")).when(F.col("event_type") == "click", deep).otherwise(F.concat(F.lit('{"items":'), ad, F.lit("}")))
+    ads = F.from_json(pages.ads_in(page), "array<struct<subject: string, price: double>>")
+    return table(spark, d, "events").select("event_id", F.inline(ads))
+
+
 @query("sc_06_actor_rows", "SELECT event_id FROM events WHERE value <= 250 AND event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def _(spark, d):
     rows = table(spark, d, "events").where("value <= 250 AND event_type <> 'error'")

@@ -68,3 +68,34 @@ def with_fallback(sources: list[DataFrame], key: str, least: int) -> DataFrame:
         counts = out.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
         out = out.unionByName(source.join(counts, key, "left_anti"))
     return out
+
+
+#: The keys under which a page's document leads to its listings, in the order they are tried.
+AD_KEYS = ("ads", "results", "items", "listings", "props", "pageProps", "data")
+AD_DEPTH, AD_HEADS = 8, 5
+
+
+def ads_in(document: Column) -> Column:
+    """JSON of the first array in a document whose head has a subject and a price; null if there is none.
+
+    All nodes of a level are opened together, each with the way that led there: one
+    letter a step, so the least way is the one that a search in depth would find
+    first. A node that looks like listings is opened no further.
+    """
+    steps = [f"$.{k}" for k in AD_KEYS] + [f"$[{k}]" for k in range(AD_HEADS)]
+
+    def filled(node: Column, path: str) -> Column:
+        value = F.try_variant_get(node, path, "string")
+        return F.coalesce(~value.isin("", "0", "false"), F.lit(False))
+
+    def found(node: Column) -> Column:
+        return filled(node, "$[0].subject") & filled(node, "$[0].price")
+
+    def opened(n: Column) -> Column:
+        children = [F.struct(F.concat(n["way"], F.lit(chr(97 + k))).alias("way"), F.try_variant_get(n["node"], path, "variant").alias("node")) for k, path in enumerate(steps)]
+        return F.when(found(n["node"]), F.array(n)).otherwise(F.filter(F.array(*children), lambda x: x["node"].isNotNull()))
+
+    root = F.array(F.struct(F.lit("").alias("way"), F.try_parse_json(document).alias("node")))
+    nodes = F.aggregate(F.sequence(F.lit(1), F.lit(AD_DEPTH)), root, lambda level, _: F.flatten(F.transform(level, opened)))
+    ads = F.filter(nodes, lambda x: found(x["node"]))
+    return F.array_min(F.transform(ads, lambda x: F.struct(x["way"], F.to_json(x["node"]).alias("ads"))))["ads"]

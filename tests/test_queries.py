@@ -47,3 +47,37 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     want = [dict(zip(names, r, strict=True)) for r in result.fetchall()]
     assert rows(sorted(names), got) == rows(sorted(names), want)
+
+
+def test_nested_ads_cases(spark):
+    from bazaarline.sources import pages
+
+    ad = '[{"subject":"a","price":1}]'
+    texts = [
+        ad,
+        '{"x":' + ad + "}",
+        '{"data":' + ad + ',"results":[{"subject":"b","price":2}]}',
+        '[1,2,3,4,5,{"ads":' + ad + "}]",
+        '{"ads":[{"subject":"","price":1}],"data":[[' + ad + "]]}",
+        '{"data":' * 9 + ad + "}" * 9,
+        "no json",
+        None,
+    ]
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["ads"] for r in rows.select("k", pages.ads_in(F.col("t")).alias("ads")).collect()}
+    second = got[2].replace(" ", "")
+    assert '"b"' in second and got[0] and got[4]
+    assert [got[k] for k in (1, 3, 5, 6, 7)] == [None] * 5
+
+
+def test_peers_cases(spark):
+    from bazaarline.operators import peers
+
+    schema = "g string, id long, price double, v array<float>"
+    same = [1.0, 0.0]
+    rows = [("a", 1, 1.0, same), ("a", 2, 4.0, same), ("a", 3, 6.0, same), ("a", 4, 9.0, [0.0, 1.0]), ("b", 5, 1.0, same), ("b", 6, 9.0, same), (None, 7, 1.0, same), (None, 8, 2.0, same), (None, 9, 2.0, same), (None, 10, 5.0, same), ("a", 11, None, same), ("a", 12, 3.0, None), ("a", 13, 3.0, [0.0, 0.0])]
+    got = peers.cheap_against_rest(spark.createDataFrame(rows, schema), "g", "id", "price", "v", 0.6).collect()
+    assert sorted(map(tuple, got)) == [(1, 1.0, 2, 6.0, 5.0), (7, 1.0, 3, 2.0, 3.0)]
+    assert peers.cheap_against_rest(spark.createDataFrame([], schema), "g", "id", "price", "v", 0.6).collect() == []
