@@ -288,12 +288,12 @@ def _(spark, d):
 
 @query(
     "ag_36_sprint_rejects",
-    f"""WITH e AS (SELECT user_id % 10 AS category, event_type AS reason, count(*) AS n FROM events WHERE value < 100 GROUP BY 1, 2),
+    f"""WITH e AS (SELECT user_id % 100 AS category, event_type AS reason, count(*) AS n FROM events WHERE value < 100 GROUP BY 1, 2),
         s AS (SELECT *, sum(n) OVER (PARTITION BY category) AS total FROM e)
         SELECT category, reason, n, CAST(n AS DOUBLE) / CAST(total AS DOUBLE) AS share FROM s WHERE total >= 3 AND CAST(n AS DOUBLE) / CAST(total AS DOUBLE) > 0.25""",
 )
 def _(spark, d):
-    rejects = table(spark, d, "events").where("value < 100").groupBy((F.col("user_id") % 10).alias("category"), F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    rejects = table(spark, d, "events").where("value < 100").groupBy((F.col("user_id") % 100).alias("category"), F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("category"))  # reasons per category
     return rejects.withColumn("_t", total).withColumn("share", share(F.col("n"), F.col("_t"))).where("_t >= 3 AND share > 0.25").drop("_t")
 

@@ -109,12 +109,12 @@ def _(spark, d):
     return rows.crossJoin(F.broadcast(counts)).select("doc_id", F.greatest(F.lit(-50), penalty).alias("penalty"))  # one row
 
 
-@query("jn_15_covered_categories", "SELECT DISTINCT p_type FROM part p WHERE EXISTS (SELECT 1 FROM nation n WHERE contains(lower(p.p_name), substr(lower(n.n_name), 1, 2)))")
+@query("jn_15_covered_categories", "SELECT DISTINCT p_type FROM part p WHERE EXISTS (SELECT 1 FROM region r WHERE contains(lower(p.p_name), substr(lower(r.r_name), 3, 2)))")
 def _(spark, d):
-    """Categories with a product that a query's keyword covers: keywords are few, so they are one array."""
-    words = [r[0] for r in table(spark, d, "nation").select(F.substring(F.lower("n_name"), 1, 2)).distinct().limit(1000).collect()]
-    covered = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.lower("p_name").contains(w))
-    return table(spark, d, "part").where(covered).select("p_type").distinct()
+    """Categories with a product that a query's keyword covers: keywords are two letters, so all of them are one row."""
+    words = table(spark, d, "region").agg(F.collect_set(F.substring(F.lower("r_name"), 3, 2)).alias("words"))
+    rows = table(spark, d, "part").crossJoin(F.broadcast(words))  # one row
+    return rows.where(F.exists("words", lambda w: F.lower("p_name").contains(w))).select("p_type").distinct()
 
 
 @query("jn_16_number_conflict", "SELECT p_partkey, len(list_intersect(regexp_extract_all(p_brand || ' ' || p_partkey, '[0-9]+'), regexp_extract_all(p_size || ' ' || (p_partkey % 30), '[0-9]+'))) > 0 AS conflict FROM part")

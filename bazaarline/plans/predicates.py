@@ -11,9 +11,9 @@ from ..operators import scores
 from .base import EVENTS_AS_OF, c, query, table, when_ts
 
 
-@query("pf_01_min_price", "SELECT p_partkey FROM part WHERE p_retailprice >= 1200")
+@query("pf_01_min_price", "SELECT p_partkey FROM part WHERE p_retailprice >= 950")
 def _(spark, d):
-    return table(spark, d, "part").where("p_retailprice >= 1200").select("p_partkey")
+    return table(spark, d, "part").where("p_retailprice >= 950").select("p_partkey")
 
 
 _PROFILE = {"all": ["red"], "any": ["ring", "bolt", "widget"], "none": ["old"]}
