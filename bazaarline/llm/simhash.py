@@ -24,7 +24,7 @@ never all pairs, and components come from star contraction over written tables.
 
 Defined cases: null text counts as empty, and texts without words have
 fingerprint zero, linked like any other; repeated rows get a row each; a null id
-never names a component unless all its ids are null; an empty table gives no
+never names a component unless all its ids are null; where rows are dropped, each component keeps one, whatever its id; an empty table gives no
 rows; columns other than id and text are not read.
 """
 
@@ -86,16 +86,23 @@ def fingerprint(text: str, shingle: int = SHINGLE, words: int = 1) -> list[int]:
     return np.packbits(counts * 2 > n, bitorder="little").view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
-    """(_id, _fp) per row; ``_fp`` is an array of ``words`` longs."""
+def _text_key(text_col: str) -> Column:
+    """Digest of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1, keyed: bool = False) -> DataFrame:
+    """(_id, _fp) per row, with ``keyed`` also the text's digest ``_key``; ``_fp`` is an array of ``words`` longs."""
+    names = ["_id", "_key"] if keyed else ["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle, words) for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(fps, pa.list_(pa.int64()))], ["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps, pa.list_(pa.int64()))], [*names, "_fp"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    return own.mapInArrow(run, "_id long, _fp array<long>")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), *([_text_key(text_col).alias("_key")] if keyed else []), text)
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", _fp array<long>")
 
 
 # ---- the index -------------------------------------------------------------
@@ -361,16 +368,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return keyed.join(named, "_node").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that name their component, all columns; of repeated ids one row stays.
+def _stay(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each ``_root`` of (_key, _least, _root) the text with the smallest id, then digest.
+
+    Rows are told apart by text, not by id; equal rows leave one.
+    """
+    least = keep(named.groupBy("_root").agg(F.min(F.struct("_least", "_key")).alias("s")).select("s._key", "s._least"), "simhash-stay")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _text_key(text_col).alias("_key"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_least"))
+    return boxed.join(least, ["_key", "_least"]).groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """(_key, _least, _node, _fp) of each distinct text; ``_node`` numbers its fingerprint."""
+    rows = fingerprints(docs, id_col, text_col, shingle, words, keyed=True)
+    texts = rows.groupBy("_key", "_fp").agg(F.min(F.coalesce("_id", F.lit(_NO_ID))).alias("_least"))
+    return keep(texts.select("_key", "_least", F.xxhash64("_fp").alias("_node"), "_fp"), "simhash-texts")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1, distance: int = DISTANCE, band: int | None = None) -> DataFrame:
+    """One row of ``docs`` for each component, all columns: that of the smallest id; among equal or null ids a digest of the text decides.
 
-    Texts are only joined to the ids that stay.
+    Texts are only joined to the digests that stay.
     """
-    names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, **how)
-    stay = keep(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_stay")).distinct(), "simhash-stay")
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_stay"))
-    return boxed.join(stay, "_stay").groupBy("_stay").agg(F.first("_row").alias("_row")).select("_row.*")
+    texts = _texts(docs, id_col, text_col, shingle, words)
+    stars = components(links(texts.select("_node", "_fp").distinct(), words, distance, band)).withColumnRenamed("node", "_node")
+    return _stay(docs, texts.join(stars, "_node", "left").select("_key", "_least", F.coalesce("root", "_node").alias("_root")), id_col, text_col)
 
 
 def drop_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

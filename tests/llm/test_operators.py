@@ -318,6 +318,16 @@ def test_alike_texts_are_dropped(spark):
     assert sorted(r.doc_id for r in simhash.drop_alike(table).collect()) == [10 * i for i in range(12)]
 
 
+def test_one_row_stays_of_each_component_whatever_its_id(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(rng.choice(EN) + str(rng.randint(0, 99)) for _ in range(200)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (1, e), (2, d), (None, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for drop in (simhash.drop_near_duplicates, simhash.drop_alike):
+        got = Counter((r.doc_id, r.text or "") for r in drop(table).collect())
+        assert got == Counter([(None, a), (None, b), (1, c), (2, d), (1, e), (None, "")])
+
+
 # ---- 7
 
 
