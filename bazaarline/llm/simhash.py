@@ -12,10 +12,11 @@ pruned with all below them.
 With one word of 64 bits and a front for each of ``distance + 1`` blocks the
 search is exact: fingerprints within ``distance`` bits agree in one block. Texts
 alike to 0.8 by their shingles differ in about ten of 64 bits, beyond what any
-front can catch, so for those fingerprints have ``words`` words, from as many
-hashes of each shingle, and all their blocks serve as fronts: with 8 words a pair
-at 0.8 meets in one of 32 fronts of 16 bits with a chance of about 0.9, at 0.85 of
-0.97, and is then judged by all 512 bits.
+front can catch, so for :func:`drop_alike` fingerprints have ``WIDE_WORDS`` words,
+from as many hashes of each distinct shingle, all their blocks serve as fronts,
+and the bit limit is loose. That only finds candidates. Every two texts of a
+candidate component are then compared by their whole sets of shingles, and
+components are made of the pairs that are alike to 0.8.
 
 A front's members that lie in one leaf are linked where the sort put them. A hot
 front fills many leaves, over many tasks; its surviving pairs of leaves are dealt
@@ -30,7 +31,7 @@ rows; columns other than id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .membership import bitmap, with_membership
 from .storage import drop, keep, kept
 
 SHINGLE = 3
 DISTANCE = 3
-#: For texts alike to 0.8 by their sets of shingles: words of a fingerprint, bits of a front, differing bits allowed.
-WIDE_WORDS, WIDE_BAND, WIDE_DISTANCE = 8, 16, 84
+#: To find candidates for texts alike to 0.8: words of a shingle, words of a fingerprint, least bits of a front, differing bits allowed.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BAND, WIDE_DISTANCE = 5, 8, 12, 120
+#: Likeness of two sets of shingles, as a fraction.
+ALIKE = (4, 5)
+#: About so many texts of a candidate component in a block; two blocks are compared together.
+BLOCK = 128
 SEED = 42
 #: Fingerprints in a leaf, members of a node inside it, leaves in an upper node.
 LEAF, NODE, UPPER = 512, 16, 32
@@ -67,22 +73,39 @@ def _rehashed(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, words: int = 1) -> list[int]:
-    """The signed 64-bit words of a whole text's fingerprint."""
+def _digests(text: str, shingle: int, step: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, ``step`` at a time; fewer words than ``shingle`` are one shingle."""
     found = text.encode("utf-8").lower().split()  # bytes: only A-Z and ASCII white space
     if not found:
-        return [0] * words
+        return
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     n = max(1, len(found) - shingle + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    counts, step = np.zeros(_BITS * words, np.int64), 8192 // words
     for at in range(0, n, step):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + step], stops[at : at + step], strict=True)], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + step], stops[at : at + step], strict=True)], np.uint64)
+
+
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes of 64 bits."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_digests(text, shingle, 1 << 16)]))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    """The signed 64-bit words of a whole text's fingerprint; with several words a repeated shingle counts once."""
+    step = 8192 // words
+    if words > 1:
+        every = shingles(text, shingle)
+        parts: Iterable[np.ndarray] = (every[at : at + step] for at in range(0, len(every), step))
+    else:
+        parts = _digests(text, shingle, step)
+    counts, n = np.zeros(_BITS * words, np.int64), 0
+    for h in parts:
         bits = np.unpackbits(_rehashed(h, words).view(np.uint8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int32)
+        n += len(h)
     return np.packbits(counts * 2 > n, bitorder="little").view(np.int64).tolist()
 
 
@@ -395,6 +418,70 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return _stay(docs, texts.join(stars, "_node", "left").select("_key", "_least", F.coalesce("root", "_node").alias("_root")), id_col, text_col)
 
 
+# ---- candidates held against their shingles --------------------------------
+
+
+def alike_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions i < j of the sets whose Jaccard likeness is at least ``ALIKE``; two empty sets are alike."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    several = counts > 1  # what only one set has is in no intersection
+    kept_ = several[column]
+    owner, column = owner[kept_], (np.cumsum(several) - 1)[column[kept_]]
+    order = np.argsort(column, kind="stable")
+    owner, column, common = owner[order], column[order], np.zeros((n, n), np.float64)
+    step = 4096
+    for low in range(0, int(several.sum()), step):
+        a, b = np.searchsorted(column, [low, low + step])
+        has = np.zeros((n, step), np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        common += has @ has.T
+    over, under = ALIKE
+    near = (over + under) * common >= over * (sizes[:, None] + sizes[None, :])
+    return np.nonzero(np.triu(near, 1))
+
+
+def alike_links(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): a spanning set of links between the digests of alike texts of one candidate component, of (_key, _root).
+
+    Sets of shingles are only made of texts with candidates. A component of many texts is dealt out as
+    pairs of blocks, so its sets are sent once for each block.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    sizes = texts.groupBy("_root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_root", blocks.alias("_blocks"))
+    members = keep(texts.join(sizes, "_root").select("_key", "_root", "_blocks"), "simhash-candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), WIDE_SHINGLE).tobytes() for t in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(found, pa.binary())], ["_key", "_set"])
+
+    own = docs.select(_text_key(text_col).alias("_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    asked = with_membership(own, bitmap(members, "_key"), "_key", "_maybe").where("_maybe").select("_key", "_text")
+    with_sets = keep(asked.mapInArrow(sets, "_key long, _set binary").join(members, "_key").dropDuplicates(["_key"]), "simhash-sets")
+
+    # of one block all pairs; of several each two blocks, which covers those within a block too
+    mine = F.pmod(F.xxhash64("_key", "_root"), F.col("_blocks")).cast("int")
+    dealt = with_sets.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_blocks = 1 or _mine <> _other")
+    dealt = dealt.select("_root", F.least("_mine", "_other").alias("_one"), F.greatest("_mine", "_other").alias("_two"), "_key", "_set")
+
+    def compare(unit: pa.Table) -> pa.Table:
+        keys = unit.column("_key").to_numpy()
+        node, root = _forest(len(keys), *alike_pairs([np.frombuffer(x.as_py(), np.uint64) for x in unit.column("_set")]))
+        return pa.table({"a": pa.array(keys[node], pa.int64()), "b": pa.array(keys[root], pa.int64())})
+
+    return dealt.groupBy("_root", "_one", "_two").applyInArrow(compare, "a long, b long")
+
+
 def drop_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`drop_near_duplicates` for texts alike to 0.8 by shingles of five words."""
-    return drop_near_duplicates(docs, id_col, text_col, shingle=5, words=WIDE_WORDS, distance=WIDE_DISTANCE, band=WIDE_BAND)
+    """One row for each component of texts alike to 0.8 by sets of five-word shingles, chosen as in :func:`drop_near_duplicates`.
+
+    Fingerprints find candidates; only pairs whose sets are alike make a component.
+    """
+    texts = _texts(docs, id_col, text_col, WIDE_SHINGLE, WIDE_WORDS)
+    near = components(links(texts.select("_node", "_fp").distinct(), WIDE_WORDS, WIDE_DISTANCE, WIDE_BAND)).withColumnRenamed("node", "_node")
+    candidates = keep(texts.join(near, "_node", "left").select("_key", "_least", F.coalesce("root", "_node").alias("_root")), "simhash-near")
+    alike = components(alike_links(docs, candidates.select("_key", "_root"), text_col)).withColumnRenamed("node", "_key")
+    named = candidates.drop("_root").join(alike, "_key", "left").select("_key", "_least", F.coalesce("root", "_key").alias("_root"))
+    return _stay(docs, named, id_col, text_col)

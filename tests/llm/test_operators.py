@@ -328,6 +328,54 @@ def test_one_row_stays_of_each_component_whatever_its_id(spark):
         assert got == Counter([(None, a), (None, b), (1, c), (2, d), (1, e), (None, "")])
 
 
+def changed_at_end(words, likeness):
+    """A text whose five-word shingles agree with those of ``words`` to about ``likeness``, and the exact figure."""
+    n = len(words) - 4
+    cut = round(n * (1 - likeness) / (1 + likeness))
+    other = words[: len(words) - cut] + [f"new{k}" for k in range(cut)]
+    a, b = ({tuple(w[k : k + 5]) for k in range(n)} for w in (words, other))
+    return " ".join(other), len(a & b) / len(a | b)
+
+
+def test_alike_means_four_fifths_of_shingles(spark):
+    rng = random.Random(13)
+    rows, want = [], set()
+    for k in range(120):
+        words = [rng.choice(EN) + str(rng.randint(0, 99)) for _ in range(400)]
+        other, likeness = changed_at_end(words, rng.uniform(0.802, 0.82) if k % 2 else rng.uniform(0.70, 0.78))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, other)]
+        want |= {2 * k} if likeness >= 0.8 else {2 * k, 2 * k + 1}
+    left = {r.doc_id for r in simhash.drop_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= left  # no text goes that is alike to less
+    assert len(left - want) <= 2  # of 60 copies
+
+
+def test_alike_pairs_of_blocks_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    rng = random.Random(14)
+    base = [rng.choice(EN) + str(rng.randint(0, 99)) for _ in range(120)]
+    texts = [None, " ", " ".join(base)]
+    for _ in range(40):
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(len(words))] = str(rng.random())
+        texts.append(" ".join(words))
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    pairs = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    found = simhash.alike_pairs([simhash.shingles(t or "", 5) for t in texts])
+    assert set(zip(*(x.tolist() for x in found), strict=True)) == pairs
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = table.select("doc_id", simhash._text_key("text").alias("_key"), F.lit(1).cast("long").alias("_root"))
+    ids = {r._key: r.doc_id for r in keys.collect()}
+    stars = simhash.components(simhash.alike_links(table, keys.select("_key", "_root"), "text")).collect()
+    got, plain = {ids[r.node]: ids[r.root] for r in stars}, list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            plain[i] = plain[j] = min(plain[i], plain[j])
+    groups = lambda label: sorted(sorted(k for k in range(len(texts)) if label(k) == x) for x in {label(k) for k in range(len(texts))})
+    assert groups(lambda k: got.get(k, k)) == groups(lambda k: plain[k])
+
+
 # ---- 7
 
 
