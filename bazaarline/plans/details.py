@@ -127,11 +127,13 @@ def _(spark, d):
 
 @query("dm_02_pair_scores")
 def _(spark, d):
-    """Each product's title against the next one's; golden pairs are in the tests."""
-    titles = _titles(spark, d)
-    pairs = titles.join(titles.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("title").alias("sold")), "p_partkey")
-    scored = matching.with_match(signature.with_signature(matching.signed_listings(pairs), "sold", "r"))
-    return scored.select("p_partkey", "m.score", "m.missing_critical", "m.lot_mismatch", "m.variant_mismatch", F.size("m.shared").alias("shared"))
+    """Each product's title against those of all sold products that share a needed token; golden pairs are in the tests."""
+    titles = _titles(spark, d).select("p_partkey", "title")
+    sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    sales = titles.join(sold, "p_partkey", "left_semi").withColumnRenamed("p_partkey", "sale")
+    left, right = matching.signed_listings(titles.withColumnRenamed("p_partkey", "listing")).drop("title"), matching.signed_sales(sales).drop("title")
+    scored = matching.with_match(matching.candidate_pairs(left, right, "listing", "sale", by_number=False))
+    return scored.select("listing", "sale", "m.score", "m.missing_critical", "m.lot_mismatch", "m.variant_mismatch", F.size("m.shared").alias("shared"))
 
 
 @query(
