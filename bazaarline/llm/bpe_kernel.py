@@ -5,7 +5,8 @@ pre-token, whatever surrounds it, so a text can be cut there and the parts
 encoded apart with the same result. Latin parts are encoded by tiktoken with the
 ranks of the same vocabulary file, which takes a third of the time; others,
 whose character classes the two libraries could see differently, by the
-tokenizers library itself.
+tokenizers library itself. So are parts with a run of ``LONG`` white space
+characters or more, on which tiktoken's pattern would exhaust its stack.
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ from tokenizers import Tokenizer
 
 _SAFE_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?= )")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+#: White space characters in a row that tiktoken surely takes; it fails at a million.
+LONG = 100_000
+_LONG_RUN = re.compile(r"\s{%d}" % LONG)
+
+
+def _needs_library(text: str) -> bool:
+    return bool(_BEYOND_LATIN.search(text)) or (len(text) >= LONG and bool(_LONG_RUN.search(text)))
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -72,9 +80,9 @@ class Encoder:
             return np.empty(0, self.dtype)
         if not self.ranks:
             return self.by_library(text)
-        if not _BEYOND_LATIN.search(text):
+        if not _needs_library(text):
             return self._by_ranks(text)
-        runs = groupby(_SAFE_CUT.split(text), key=lambda part: bool(_BEYOND_LATIN.search(part)))
+        runs = groupby(_SAFE_CUT.split(text), key=_needs_library)
         return np.concatenate([(self.by_library if beyond else self._by_ranks)("".join(parts)) for beyond, parts in runs])
 
     def decode_bytes(self, ids) -> bytes:
