@@ -13,7 +13,7 @@ the ids at hand. At a border, a space after a plain character, every encoding
 starts a new pre-token, so the ids then agree exactly with those of the whole
 text; where a chunk has no such border, it is encoded with its neighbours.
 
-A bitmap of fixed size tells tasks which chunks may be shared. Documents with
+A bitmap tells tasks which chunks may be shared. Documents with
 none are encoded where they lie; only the others are written out, compressed,
 and joined to chunk ids.
 
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_kernel import Encoder, encoder
-from .membership import BITS, ROW_BITS, bitmap
+from .membership import MOST as MOST_BITS
+from .membership import ROW_BITS, Bitmap, bitmap
 from .storage import keep
 
 #: Chunk lengths in bytes: mean beyond the least, least, most; width of the rolling hash.
@@ -127,8 +128,8 @@ def _some(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Rec
 class _Marks:
     """The bitmap of shared chunks, as tasks read it."""
 
-    def __init__(self, rows: list, bits: int):
-        self.bits, self.blocks = bits, {r["_block"]: bytes(r["_bits"]) for r in rows}
+    def __init__(self, marks: Bitmap):
+        self.bits, self.blocks = marks.bits, {r["_block"]: bytes(r["_bits"]) for r in marks.rows.collect()}
 
     def __contains__(self, digest: bytes) -> bool:
         slot = _short(digest) % self.bits
@@ -136,7 +137,7 @@ class _Marks:
         return block is not None and bool(block[slot % ROW_BITS // 8] >> (slot % 8) & 1)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
     """One row per input row: id, ids (array of token ids of the whole text)."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -153,8 +154,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([_short(d.as_py()) for d in batch.column(0)], pa.int64())], ["short"])
 
     shared = keep(counted.where("n > 1").select("digest"), "bpe-shared")
-    # at most bits / 32768 rows of 4 KB, whatever the number of chunks
-    marks = spark.sparkContext.broadcast(_Marks(bitmap(shared.mapInArrow(shorts, "short long"), "short", bits).collect(), bits))
+    # at most MOST_BITS / 32768 rows of 4 KB, whatever the number of chunks
+    marks = spark.sparkContext.broadcast(_Marks(bitmap(keep(shared.mapInArrow(shorts, "short long"), "bpe-shorts"), "short", most)))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = encoder(tokenizer_path)

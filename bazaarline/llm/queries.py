@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
 from . import bpe_chunks, exact_dedup, language, mixing, quality, sanitise, simhash, spotsigs, token_counts, token_files
-from .storage import work_path
+from .storage import keep, work_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -65,7 +65,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = spotsigs.compare_with_edits(_docs(spark, sf_dir))
-    return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rows = keep(compared.withColumn("edited_sha256", F.sha2("edited", 256)).select(*names, "signatures"), "spot-rows")
+    classes = spotsigs.near_classes(rows.select(F.col("doc_id").alias("_id"), "fingerprint", "signatures"))
+    return rows.select(*names).join(classes, "fingerprint").select(*names, "near_class")
 
 
 QUERIES = {

@@ -1,11 +1,17 @@
 """Personal data and the terms that give it away, in DataFrame operations only.
 
-Base spans (email, ip, card, phone) come from patterns. Around each of them lie
-context terms; counted over the whole corpus, a term t discloses an entity e by
-the share of the entity's information that it carries, PMI(t; e) / IC(e) with
-IC(e) = -log2 p(e). Pairs seen in too few different texts are no evidence. Terms
-at ``GENERALISE`` or more are replaced by their kind in the documents of that
-entity, at ``REMOVE`` or more they are taken out.
+Base spans (email, ip, card, phone) come from patterns. What is to be protected
+are their values and the classes these belong to (see :func:`_entities`), so that
+a value too rare to be judged alone is judged with its like. Terms are words and
+numbers of two letters or digits or more outside base spans. Counted over whole
+texts and the whole corpus, a term t discloses an entity e by the share of the
+entity's information that it carries, PMI(t; e) / IC(e) with IC(e) = -log2 p(e).
+As few documents are little evidence, p(e | t) is not the raw share but the lower
+end of its Wilson interval, where only different texts count as observations; and
+a rule needs it to be ``LIKELY`` at least, so that at most a bit is left in doubt.
+Every occurrence of a term in the documents of the entity is a span: at
+``GENERALISE`` or more it is replaced by its kind, at ``REMOVE`` or more it is
+taken out.
 
 Spark's expressions give matches and what lies between them; positions are
 running sums of their lengths. Patterns start only where a run of their
@@ -13,6 +19,10 @@ characters starts and never give back what they took, so long runs cost linear
 time. Documents without an entity are never shuffled with their texts, and
 documents are known by two hashes of their text, so copies share one answer.
 
+Two bounds that follow from the thresholds keep pairs few: an entity or term of
+fewer than three texts can't reach ``LIKELY``, nor a term in more than
+``1 / LIKELY`` times as many documents as the entity.
+
 Defined cases: null text counts as empty and has no spans; repeated rows get a
 row each; an empty table gives no rows; columns other than id and text are not
 read by the search and stay as they are in ``sanitise``.
@@ -20,19 +30,22 @@ read by the search and stay as they are in ``sanitise``.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .membership import BITS, bitmap, with_membership
+from .membership import filtered
 from .storage import keep
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Code points of context on each side of an entity.
-CONTEXT = 100
-#: Different texts in which a term must stand by an entity to count as evidence.
-SUPPORT = 3
+#: Share of an entity's information from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.8, 0.95
+#: Least p(e | t) of a rule, and how many standard deviations its estimate is lowered by.
+LIKELY, DEVIATIONS = 0.5, 1.64
+#: With all texts on its side, an estimate reaches ``LIKELY`` from so many on.
+LEAST_TEXTS = ceil(DEVIATIONS**2 * LIKELY / (1 - LIKELY))
 _PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
@@ -54,7 +67,7 @@ _VALID = {
     "card": f"(CASE WHEN length({_CARD_DIGITS}) BETWEEN 12 AND 19 THEN {_LUHN.format(d=_CARD_DIGITS)} ELSE false END)",
     "phone": f"length({_ALL_DIGITS}) BETWEEN 9 AND 15",
 }
-_WORDS = r"\\p{L}{4,}"
+_WORDS = r"[\p{L}\p{N}]{2,}"
 
 
 def _located(text: str, hits: str, pattern_sql: str, valid: str, kind: int, shift: str = "0") -> str:
@@ -87,42 +100,58 @@ def with_base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
     return docs.withColumn("_base", F.array_sort(F.concat(*parts))).drop(*[f"_{kind}" for kind in KINDS])
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """(_k1, _k2, entity, term, start, end): the terms beside each entity; rows are different texts."""
-    one = rows.select("_k1", "_k2", "_text", F.explode("_base").alias("s"))
-    value = F.lower(F.when(F.col("s.kind") >= 2, F.regexp_replace("s.value", "[^0-9]", "")).otherwise(F.col("s.value")))
-    one = one.withColumn("entity", F.concat(F.col("s.kind").cast("string"), F.lit(":"), value))
-    # one code point more than the context tells whether its first or last word is whole
-    one = one.withColumn("_low", F.greatest(F.lit(0), F.col("s.start") - CONTEXT - 1)).withColumn("_high", F.col("s.end") + CONTEXT + 1)
-    sides = F.array(
-        F.struct(F.expr("substring(_text, _low + 1, s.start - _low)").alias("part"), F.col("_low").alias("at"), (F.col("_low") > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(F.expr("substring(_text, s.end + 1, _high - s.end)").alias("part"), F.col("s.end").alias("at"), F.lit(False).alias("cut_left"), F.expr("length(_text) > _high").alias("cut_right")),
-    )
-    one = one.select("_k1", "_k2", F.inline(F.transform(sides, lambda side: side.withField("entity", F.col("entity"))))).withColumn("part", F.lower("part"))
-    one = one.withColumn("hits", F.expr(f"regexp_extract_all(part, '{_WORDS}', 0)")).where("size(hits) > 0")
-    found = _located("part", "hits", f"'{_WORDS}'", "true", len(KINDS), "at")
-    one = one.withColumn("t", F.explode(F.expr(found)))
-    whole = "NOT (cut_left AND t.start = at) AND NOT (cut_right AND t.end = at + length(part))"
-    return one.where(whole).select("_k1", "_k2", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+def _entities(base: str) -> Column:
+    """The values of base spans and their classes, different ones: the kind; an address's domain and the parts of its name; an ip's first three numbers; a card's first six digits; a phone without its last four."""
+    digits = "regexp_replace(s.value, '[^0-9]', '')"
+    mail = "lower(s.value)"
+    name = f"filter(split(substring_index({mail}, '@', 1), '[._%+-]+'), x -> length(x) >= 2)"
+    of_kind = [
+        f"concat(array(concat('email:', {mail}), concat('domain:', substring_index({mail}, '@', -1))), transform({name}, x -> concat('name:', x)))",
+        "array(concat('ip:', s.value), concat('net:', substring_index(s.value, '.', 3)))",
+        f"array(concat('card:', {digits}), concat('issuer:', substring({digits}, 1, 6)))",
+        f"array(concat('phone:', {digits}), concat('exchange:', substring({digits}, 1, length({digits}) - 4)))",
+    ]
+    cases = " ".join(f"WHEN {k} THEN concat({of_kind[k]}, array('{kind}'))" for k, kind in enumerate(KINDS))
+    return F.expr(f"array_distinct(flatten(transform({base}, s -> CASE s.kind {cases} END)))")
+
+
+def _outside(text: str) -> str:
+    """SQL: the text with whatever looks like a base span blanked out."""
+    for kind in KINDS:
+        text = f"regexp_replace({text}, {_literal(_PATTERNS[kind])}, ' ')"
+    return text
+
+
+def likely(n_te: Column, n_t: Column, texts: Column) -> Column:
+    """Lower end of the Wilson interval of n_te / n_t, where ``texts`` of the ``n_te`` documents differ."""
+    p, z2 = n_te / n_t, F.lit(DEVIATIONS**2)
+    n = texts / p  # different texts with the term, by the same share
+    return (p + z2 / (2 * n) - DEVIATIONS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, copies: DataFrame, bits: int = BITS) -> DataFrame:
-    """(entity, term, disclosure) of all pairs with enough support; documents are counted over the whole corpus.
+def disclosing_terms(docs: DataFrame, words: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, term, disclosure) of all pairs with at least ``LIKELY``; documents are counted over the whole corpus.
 
-    ``docs`` has ``_text`` of all documents, ``copies`` the number ``_n`` of documents with each text of ``contexts``.
+    ``docs`` has ``_text`` of all documents; ``words`` and ``entities`` have a row per
+    different text (_k1, _k2, of _n documents) and term or entity.
     """
-    held = contexts.select("_k1", "_k2", "entity", "term").distinct().join(copies, ["_k1", "_k2"])
-    pairs = keep(held.groupBy("entity", "term").agg(F.sum("_n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT), "pii-pairs")
-    entities = held.select("_k1", "_k2", "entity", "_n").distinct().groupBy("entity").agg(F.sum("_n").alias("n_e"))
-    terms = keep(pairs.select("term").distinct().withColumn("_key", F.xxhash64("term")), "pii-terms")
-    marks = keep(bitmap(terms, "_key", bits), "pii-marks")
-    every = docs.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(_text), '{_WORDS}', 0)"))).alias("term")).withColumn("_key", F.xxhash64("term"))
-    counts = with_membership(every, marks, "_key", "_maybe", bits).where("_maybe").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    several = F.col("texts") >= LEAST_TEXTS
+    known = keep(entities.groupBy("entity").agg(F.sum("_n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(several).drop("texts"), "pii-entities")
+    terms = keep(words.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where(several).select("term", F.xxhash64("term").alias("_key")), "pii-terms")
+    every = docs.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(_text), {_literal(_WORDS)}, 0)"))).alias("term")).withColumn("_key", F.xxhash64("term"))
+    counts = filtered(every, terms, "_key").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = keep(counts.join(terms.select("term"), "term", "left_semi"), "pii-counts")
+    one = words.join(counts, "term")
+    two = entities.select("_k1", "_k2", "entity").join(known, "entity")
+    pairs = one.join(two, ["_k1", "_k2"]).where(F.col("n_t") * LIKELY <= F.col("n_e"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("_n").alias("n_te"), F.count(F.lit(1)).alias("texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    joined = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
+    joined = pairs.where(several).crossJoin(F.broadcast(total))  # one row
+    # a copy of a text that another text's words are counted in as well can't make the share exceed 1
+    joined = joined.withColumn("p", likely(F.col("n_te"), F.greatest("n_t", "n_te"), F.col("texts")))
     information = F.log2(F.col("n") / F.col("n_e"))
-    mutual = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    return joined.select("entity", "term", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)).alias("disclosure"))
+    disclosure = F.when(information > 0, (F.log2("p") + information) / information).otherwise(F.lit(0.0))
+    return joined.where(F.col("p") >= LIKELY).select("entity", "term", disclosure.alias("disclosure"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -131,23 +160,29 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     own = docs.select(*box, F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     rows = with_base_spans(own).withColumn("_k1", F.xxhash64("_text")).withColumn("_k2", F.xxhash64(F.lit(1), F.reverse("_text")))
     entity = F.size("_base") > 0
-    private = rows.where(entity).select("_k1", "_k2", "_text", "_base")
-    copies = keep(private.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"), F.first("_text").alias("_text"), F.first("_base").alias("_base")), "pii-texts")
-    contexts = keep(_contexts(copies), "pii-contexts")
-    rules = disclosing_terms(own.select("_text"), contexts, copies.select("_k1", "_k2", "_n")).where(F.col("disclosure") >= GENERALISE)
-    action = F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
-    hits = contexts.join(rules.withColumn("action", action), ["entity", "term"])
-    hits = hits.groupBy("_k1", "_k2", "start", "end").agg(F.max("action").alias("value"))  # "remove" is the greater
-    span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "value")
-    terms = keep(hits.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(span)).alias("_terms")), "pii-spans")
+    text = ["_k1", "_k2"]
+    private = rows.where(entity).select(*text, "_text", "_base")
+    copies = keep(private.groupBy(*text).agg(F.count(F.lit(1)).alias("_n"), F.first("_text").alias("_text"), F.first("_base").alias("_base")), "pii-texts")
+    found = F.array_distinct(F.expr(f"regexp_extract_all(lower({_outside('_text')}), {_literal(_WORDS)}, 0)"))
+    words = keep(copies.select(*text, "_n", F.explode(found).alias("term")), "pii-words")
+    entities = keep(copies.select(*text, "_n", F.explode(_entities("_base")).alias("entity")), "pii-protected")
+    rules = disclosing_terms(own.select("_text"), words, entities).where(F.col("disclosure") >= GENERALISE)
+    rules = keep(rules.withColumn("action", F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))), "pii-rules")
+    told = words.select(*text, "term").join(rules, "term").join(entities.select(*text, "entity"), [*text, "entity"])
+    told = told.groupBy(*text, "term").agg(F.max("action").alias("action"))  # "remove" is the greater
+    told = told.groupBy(*text).agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_told"))  # of one text
+    marked = copies.join(told, text).withColumn("_hits", F.expr(f"regexp_extract_all(_text, {_literal(_WORDS)}, 0)"))
+    places = _located("_text", "_hits", _literal(_WORDS), "map_contains_key(_told, lower(x.hit))", len(KINDS))
+    # a term inside a base span is covered by it
+    free = f"filter({places}, t -> NOT exists(_base, b -> t.start < b.end AND b.start < t.end))"
+    acted = f"transform({free}, t -> named_struct('start', t.start, 'kind', t.kind, 'end', t.end, 'value', _told[lower(t.value)]))"
+    terms = keep(marked.select(*text, F.expr(acted).alias("_terms")), "pii-spans")
     shown = [*(["_row"] if carry else []), "_id", "_text", "_base", "_terms"]
     none = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,value:string>>)")
     kept_text = F.col("_text") if carry else F.lit(None).cast("string")
     clean = rows.where(~entity).withColumn("_terms", none)
-    marked = rows.where(entity).withColumn("_text", kept_text).join(terms, ["_k1", "_k2"], "left").withColumn("_terms", F.coalesce("_terms", none))
-    # a term inside a base span is covered by it
-    free = F.expr("filter(_terms, t -> NOT exists(_base, b -> t.start < b.end AND b.start < t.end))")
-    return clean.select(*shown).unionByName(marked.select(*shown).withColumn("_terms", free))
+    touched = rows.where(entity).withColumn("_text", kept_text).join(terms, text, "left").withColumn("_terms", F.coalesce("_terms", none))
+    return clean.select(*shown).unionByName(touched.select(*shown))
 
 
 def spans_text(spans: Column) -> Column:

@@ -9,14 +9,16 @@ the bits all its members share; leaves form upper nodes in the same way. Two
 nodes whose shared bits already differ in more than ``distance`` places are
 pruned with all below them.
 
-With one word of 64 bits and a front for each of ``distance + 1`` blocks the
-search is exact: fingerprints within ``distance`` bits agree in one block. Texts
-alike to 0.8 by their shingles differ in about ten of 64 bits, beyond what any
-front can catch, so for :func:`drop_alike` fingerprints have ``WIDE_WORDS`` words,
-from as many hashes of each distinct shingle, all their blocks serve as fronts,
-and the bit limit is loose. That only finds candidates. Every two texts of a
-candidate component are then compared by their whole sets of shingles, and
-components are made of the pairs that are alike to 0.8.
+With one word of 64 bits the search is exact: of ``b`` blocks of its bits,
+fingerprints within ``distance`` bits agree in ``b - distance``, and every choice
+of so many blocks is a front. More fingerprints take more blocks, so that fronts
+get longer and their members stay few. Texts alike to 0.8 by their shingles differ
+in about ten of 64 bits, beyond what any such front can catch, so for
+:func:`drop_alike` fingerprints have several words, from as many hashes of each
+distinct shingle, all their blocks serve as fronts, and the bit limit is loose;
+:func:`wide_shape` says how many of what width. That only finds candidates. Every
+two texts of a candidate component are then compared by their whole sets of
+shingles, and components are made of the pairs that are alike to 0.8.
 
 A front's members that lie in one leaf are linked where the sort put them. A hot
 front fills many leaves, over many tasks; its surviving pairs of leaves are dealt
@@ -31,7 +33,9 @@ rows; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +44,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .membership import bitmap, with_membership
+from .membership import filtered
 from .storage import drop, keep, kept
 
 SHINGLE = 3
 DISTANCE = 3
-#: To find candidates for texts alike to 0.8: words of a shingle, words of a fingerprint, least bits of a front, differing bits allowed.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_BAND, WIDE_DISTANCE = 5, 8, 12, 120
+#: Members of a front that longer fronts are taken for on average.
+CROWDED = 64
+#: To find candidates for texts alike to 0.8: words of a shingle, least words of a fingerprint, least bits of a front, differing bits of a word allowed.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BAND, WIDE_DISTANCE = 5, 8, 12, 15
+#: Texts, as a power of two, up to which fronts have the least width; most width; share of equal bits and of missed pairs at 0.8 that shapes are made for.
+WIDE_TEXTS, WIDE_MOST, WIDE_EQUAL, WIDE_MISSED = 24, 20, 0.84, 0.01
 #: Likeness of two sets of shingles, as a fraction.
 ALIKE = (4, 5)
 #: About so many texts of a candidate component in a block; two blocks are compared together.
@@ -131,17 +139,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---- the index -------------------------------------------------------------
 
 
-def _arrangements(words: int, distance: int, band: int | None) -> list[tuple[int, list[tuple[int, int]], int]]:
+def wide_shape(n: int) -> tuple[int, int]:
+    """(words, band) for ``n`` texts: each doubling beyond ``2**WIDE_TEXTS`` makes fronts a bit longer, and so many more of them that as few pairs are missed."""
+    band = min(WIDE_MOST, WIDE_BAND + max(0, math.ceil(math.log2(max(1, n))) - WIDE_TEXTS))
+    fronts = math.log(WIDE_MISSED) / math.log(1 - WIDE_EQUAL**band)
+    return max(WIDE_WORDS, math.ceil(fronts / (_BITS // band))), band
+
+
+def front_blocks(n: int, distance: int) -> int:
+    """Blocks of a 64-bit word for an exact search among ``n`` fingerprints: the fewest whose fronts aren't crowded, and two more than the least at most."""
+    least = distance + 1
+    return next((b for b in range(least, least + 2) if n <= CROWDED << (b - distance) * _BITS // b), least + 2)
+
+
+def _arrangements(words: int, distance: int, band: int | None, blocks: int) -> list[tuple[int, list[tuple[int, int]], int]]:
     """(word, its bit ranges in their new order, width of the front) of each arrangement.
 
-    Without ``band`` there are ``distance + 1`` blocks of one word, and the search is exact.
+    Without ``band`` one word is cut into ``blocks``, and the search is exact.
     """
     if band is None and words > 1:
         raise ValueError("an exact search takes one word")
-    blocks = distance + 1 if band is None else _BITS // band
+    blocks, equal = (blocks, blocks - distance) if band is None else (_BITS // band, 1)
     edges = [round(_BITS * k / blocks) for k in range(blocks + 1)]
     ranges = list(zip(edges, edges[1:], strict=False))
-    return [(w, [r, *(x for x in ranges if x != r)], r[1] - r[0]) for w in range(words) for r in ranges]
+    return [(w, [*front, *(x for x in ranges if x not in front)], sum(high - low for low, high in front)) for w in range(words) for front in combinations(ranges, equal)]
 
 
 def _arranged(fp: Column, order: list[tuple[int, int]]) -> Column:
@@ -239,12 +260,12 @@ def _links_together(rows: np.ndarray, starts: np.ndarray, size: int, distance: i
 
 
 _FOUND = pa.schema(
-    [("a", pa.int64()), ("b", pa.int64()), ("arrangement", pa.int32()), ("front", pa.int64()), ("leaf", pa.int64()), ("upper", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("members", pa.binary())]
+    [("a", pa.int64()), ("b", pa.int64()), ("arrangement", pa.int32()), ("front", pa.int64()), ("leaf", pa.int64()), ("upper", pa.int64()), ("mask", pa.list_(pa.int64())), ("pattern", pa.list_(pa.int64())), ("members", pa.binary())]
 )
-_FOUND_DDL = "a long, b long, arrangement int, front long, leaf long, upper long, mask long, pattern long, members binary"
+_FOUND_DDL = "a long, b long, arrangement int, front long, leaf long, upper long, mask array<long>, pattern array<long>, members binary"
 
 
-def _cut_leaves(batches: Iterator[pa.RecordBatch], arranged: list[int], words: int, distance: int) -> Iterator[pa.RecordBatch]:
+def _cut_leaves(batches: Iterator[pa.RecordBatch], words: int, distance: int) -> Iterator[pa.RecordBatch]:
     """Sorted (arrangement, front, node, fp) to links of fronts in one leaf, and leaves of all other fronts."""
     task, count = TaskContext.get().partitionId() << 36, 0
     edges: list[tuple[np.ndarray, np.ndarray]] = []
@@ -261,7 +282,7 @@ def _cut_leaves(batches: Iterator[pa.RecordBatch], arranged: list[int], words: i
             if len(run) > 1:
                 edges.append(_links(run, None, distance))
             return
-        mask, pattern = (int(x[1 + arranged[front[0]]]) for x in _shared(run))  # of the word that the sort arranged
+        mask, pattern = (x[1:].tolist() for x in _shared(run))
         leaves.append({"arrangement": front[0], "front": front[1], "leaf": task + count, "upper": task + count // UPPER, "mask": mask, "pattern": pattern, "members": run.tobytes()})
         count, parts = count + 1, parts + 1
 
@@ -306,25 +327,29 @@ def _cut_leaves(batches: Iterator[pa.RecordBatch], arranged: list[int], words: i
     yield from out(last=True)
 
 
-def links(fps: DataFrame, words: int = 1, distance: int = DISTANCE, band: int | None = None) -> DataFrame:
-    """(a, b): a spanning set of links between the nodes of (_node, _fp)."""
-    ways, arranged = [], []
-    for k, (word, order, width) in enumerate(_arrangements(words, distance, band)):
+def links(fps: DataFrame, words: int = 1, distance: int = DISTANCE, band: int | None = None, blocks: int | None = None) -> DataFrame:
+    """(a, b): a spanning set of links between the nodes of (_node, _fp), a written table."""
+    ways = []
+    for k, (word, order, width) in enumerate(_arrangements(words, distance, band, blocks or front_blocks(fps.count(), distance))):
         x = _arranged(F.col("_fp")[word], order)
         ways.append(F.struct(F.lit(k).alias("_arrangement"), F.shiftrightunsigned(x, _BITS - width).alias("_front"), x.alias("_rank")))
-        arranged.append(word)
     placed = _with_gray_rank(fps.select("_node", "_fp", F.inline(F.array(*ways))), "_rank")
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work grows faster than the bytes
     # the rank begins with the front, so one sort brings fronts together and orders them within
     ordered = placed.repartitionByRange(tasks, "_arrangement", "_rank").sortWithinPartitions("_arrangement", "_rank")
-    found = keep(ordered.select("_arrangement", "_front", "_node", "_fp").mapInArrow(lambda batches: _cut_leaves(batches, arranged, words, distance), _FOUND_DDL), "simhash-leaves")
+    found = keep(ordered.select("_arrangement", "_front", "_node", "_fp").mapInArrow(lambda batches: _cut_leaves(batches, words, distance), _FOUND_DDL), "simhash-leaves")
     leaves = found.where("members is not null").drop("a", "b")
-    shared = F.bit_and("mask").bitwiseAND(F.bitwise_not(F.bit_or(F.col("pattern")).bitwiseXOR(F.bit_and(F.col("pattern").bitwiseOR(F.bitwise_not(F.col("mask")))))))
-    nodes = leaves.groupBy("arrangement", "front", "upper").agg(shared.alias("m"), F.bit_and(F.col("pattern").bitwiseOR(F.bitwise_not(F.col("mask")))).alias("p"))
+    every = []
+    for w in range(words):
+        mask, pattern = F.col("mask")[w], F.col("pattern")[w]
+        both = F.bit_and(pattern.bitwiseOR(F.bitwise_not(mask)))  # where all leaves share a bit, its value
+        every += [F.bit_and(mask).bitwiseAND(F.bitwise_not(F.bit_or(pattern).bitwiseXOR(both))).alias(f"m{w}"), both.alias(f"p{w}")]
+    nodes = leaves.groupBy("arrangement", "front", "upper").agg(*every)
+    nodes = nodes.select("arrangement", "front", "upper", F.array(*[f"m{w}" for w in range(words)]).alias("m"), F.array(*[f"p{w}" for w in range(words)]).alias("p"))
     nodes = keep(nodes, "simhash-nodes")
 
     def close(m1: str, p1: str, m2: str, p2: str) -> Column:
-        return F.expr(f"bit_count(({p1} ^ {p2}) & {m1} & {m2}) <= {distance}")
+        return F.expr(" + ".join(f"bit_count(({p1}[{w}] ^ {p2}[{w}]) & {m1}[{w}] & {m2}[{w}])" for w in range(words)) + f" <= {distance}")
 
     where = ["arrangement", "front"]
     left = nodes.select(*where, F.col("upper").alias("u1"), F.col("m").alias("m1"), F.col("p").alias("p1"))
@@ -376,19 +401,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def component_ids(least: DataFrame, stars: DataFrame) -> DataFrame:
+    """(_node, component_id) for the nodes of (_node, _least): the smallest ``_least`` of its component; a null one counts only where all are."""
+    known = least.withColumn("_least", F.coalesce("_least", F.lit(_NO_ID)))
+    placed = keep(known.join(stars.withColumnRenamed("node", "_node"), "_node", "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root")), "component-roots")
+    names = keep(placed.groupBy("_root").agg(F.min("_least").alias("component_id")), "component-names")
+    return keep(placed.join(names, "_root").groupBy("_node").agg(F.nullif(F.min("component_id"), F.lit(_NO_ID)).alias("component_id")), "component-ids")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1, distance: int = DISTANCE, band: int | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits a word), component_id (the smallest id reachable)."""
     rows = keep(fingerprints(docs, id_col, text_col, shingle, words), "simhash-rows")
-    distinct = keep(rows.groupBy("_fp").agg(F.min(F.coalesce("_id", F.lit(_NO_ID))).alias("_node")), "simhash-distinct")
     # ids repeated with another text would share a node, so nodes are numbered by fingerprint where that matters
-    distinct = distinct.withColumn("_least", F.col("_node")).withColumn("_node", F.xxhash64("_fp") if words > 1 else F.col("_fp")[0])
-    stars = components(links(distinct.select("_node", "_fp"), words, distance, band)).withColumnRenamed("node", "_node")
-    placed = keep(distinct.select("_node", "_least").join(stars, "_node", "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root")), "simhash-roots")
-    names = keep(placed.groupBy("_root").agg(F.min("_least").alias("component_id")), "simhash-names")
-    named = keep(placed.join(names, "_root").select("_node", F.nullif("component_id", F.lit(_NO_ID)).alias("component_id")), "simhash-named")
+    node = F.xxhash64("_fp") if words > 1 else F.col("_fp")[0]
+    distinct = keep(rows.groupBy("_fp").agg(F.min("_id").alias("_least")).withColumn("_node", node), "simhash-distinct")
+    named = component_ids(distinct.select("_node", "_least"), components(links(distinct.select("_node", "_fp"), words, distance, band)))
     hexed = F.array_join(F.transform("_fp", lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))), "")
-    keyed = rows.withColumn("_node", F.xxhash64("_fp") if words > 1 else F.col("_fp")[0])
-    return keyed.join(named, "_node").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return rows.withColumn("_node", node).join(named, "_node").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def _stay(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -414,7 +443,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Texts are only joined to the digests that stay.
     """
     texts = _texts(docs, id_col, text_col, shingle, words)
-    stars = components(links(texts.select("_node", "_fp").distinct(), words, distance, band)).withColumnRenamed("node", "_node")
+    stars = components(links(keep(texts.select("_node", "_fp").distinct(), "simhash-distinct"), words, distance, band)).withColumnRenamed("node", "_node")
     return _stay(docs, texts.join(stars, "_node", "left").select("_key", "_least", F.coalesce("root", "_node").alias("_root")), id_col, text_col)
 
 
@@ -458,8 +487,7 @@ def alike_links(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(found, pa.binary())], ["_key", "_set"])
 
     own = docs.select(_text_key(text_col).alias("_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    asked = with_membership(own, bitmap(members, "_key"), "_key", "_maybe").where("_maybe").select("_key", "_text")
-    with_sets = keep(asked.mapInArrow(sets, "_key long, _set binary").join(members, "_key").dropDuplicates(["_key"]), "simhash-sets")
+    with_sets = keep(filtered(own, members, "_key").mapInArrow(sets, "_key long, _set binary").join(members, "_key").dropDuplicates(["_key"]), "simhash-sets")
 
     # of one block all pairs; of several each two blocks, which covers those within a block too
     mine = F.pmod(F.xxhash64("_key", "_root"), F.col("_blocks")).cast("int")
@@ -479,8 +507,9 @@ def drop_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Fingerprints find candidates; only pairs whose sets are alike make a component.
     """
-    texts = _texts(docs, id_col, text_col, WIDE_SHINGLE, WIDE_WORDS)
-    near = components(links(texts.select("_node", "_fp").distinct(), WIDE_WORDS, WIDE_DISTANCE, WIDE_BAND)).withColumnRenamed("node", "_node")
+    words, band = wide_shape(docs.count())
+    texts = _texts(docs, id_col, text_col, WIDE_SHINGLE, words)
+    near = components(links(texts.select("_node", "_fp").distinct(), words, WIDE_DISTANCE * words, band)).withColumnRenamed("node", "_node")
     candidates = keep(texts.join(near, "_node", "left").select("_key", "_least", F.coalesce("root", "_node").alias("_root")), "simhash-near")
     alike = components(alike_links(docs, candidates.select("_key", "_root"), text_col)).withColumnRenamed("node", "_key")
     named = candidates.drop("_root").join(alike, "_key", "left").select("_key", "_least", F.coalesce("root", "_key").alias("_root"))

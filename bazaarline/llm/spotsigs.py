@@ -1,16 +1,28 @@
-"""SpotSigs fingerprints, in DataFrame operations only.
+"""SpotSigs fingerprints and near copies, in DataFrame operations only.
 
 A signature is a common word, the anchor, with the next content words after it,
 common words between them left out. Articles and the like stand everywhere in
 running prose and hardly in lists and boilerplate, so the set of a text's
-signatures is its fingerprint. Sets are dealt into partitions by their size, and
-two sets are compared by Jaccard similarity only where their sizes allow it to
-reach the wanted likeness.
+signatures is its fingerprint. Words are looked at once, in pieces of anchors
+and the content word that ends them, so a text costs linear time.
+
+Near copies are sets alike to ``ALIKE`` by Jaccard similarity
+(:func:`near_classes`). Each set brings only its rarest signatures, so many that
+sets so alike have one in common. Those that several sets bring are blocks, dealt
+out by set size: a partition of sizes and the next one hold all that can be
+alike. In a block every set is compared with the smallest, the pivot; that links
+the copies of one text without all their pairs. Sets of a block that are still
+in different components are compared if neither their sizes, nor the place of
+the signature among theirs, nor their distances to the pivot rule out the wanted
+likeness. The order of rarity comes from counters of a fixed number, and any order
+gives the same links.
 
 Defined cases: null text counts as empty; a text without signatures has its
 normalised words as its only one, so equal texts always have equal fingerprints;
 repeated rows get a row each; an empty table gives no rows; columns other than
-id and text are not read; a null id is the last in descending order.
+id and text are not read; a null id is the last in descending order and never
+names a class unless all its ids are null; rows of one id follow each other by a
+digest of their text.
 """
 
 from __future__ import annotations
@@ -20,6 +32,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .membership import filtered
+from .simhash import component_ids, components
 from .storage import keep
 
 #: Anchors: common words of English, French, German and Spanish.
@@ -31,6 +45,11 @@ ANCHORS = (
 ).split()
 #: Content words in a chain.
 CHAIN = 2
+#: Likeness of near copies, and counters that order signatures by how often they occur.
+ALIKE, COUNTERS = 0.8, 1 << 18
+#: Rows for each block that the bounds of blocks are estimated from.
+PER_BOUND = 64
+_END = "."
 
 
 def _trie(words: list[str]) -> str:
@@ -51,15 +70,28 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def signatures(norm: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
-    """Distinct signature hashes of a normalised text."""
-    anchor = f"(?:{_trie(sorted(set(anchors)))})(?![^ ])"
-    found = f"(?<![^ ])(?=({anchor}(?:(?: {anchor})*+ [^ ]++){{1,{chain}}}+))"
-    chains = F.array_join(F.regexp_extract_all(norm, F.lit(found), F.lit(1)), "|")
-    # all but the first word of a chain are content words once the anchors among them are gone
-    bare = F.regexp_replace(chains, f" {anchor.replace('(?![^ ])', '(?= )')}", "")
-    hashes = F.array_distinct(F.transform(F.split(bare, r"\|"), lambda s: F.xxhash64(s)))
-    return F.when(chains == "", F.array(F.xxhash64(norm))).otherwise(hashes)
+def with_signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """``df`` with the set ``out`` of signatures of a text column that is not null.
+
+    A signature is the hash of an anchor, a space and its chain, words joined by
+    ``|``. What is used twice has a column, as Spark would compute it twice.
+    """
+    piece = f"(?:{_trie(sorted(set(anchors)))} )*+[^ ]++"  # anchors, if any, and the content word after them
+    df = df.withColumn("_norm", normalised(F.col(text)))
+    df = df.withColumn("_pieces", F.regexp_extract_all(F.concat("_norm", F.lit(f" {_END}")), F.lit(piece), F.lit(0)))  # the last one ends the text
+    word = lambda p: F.substring_index(p, " ", -1)
+    chains = F.transform("_pieces", lambda p: F.when(F.instr(p, " ") > 0, p))
+    for k in range(1, chain):
+        after = F.slice("_pieces", F.lit(k + 1), F.size("_pieces"))
+        chains = F.zip_with(chains, after, lambda p, q: F.when(q.isNull() | (word(q) == _END), p).otherwise(F.concat(p, F.lit("|"), word(q))))
+    df = df.withColumn("_pieces", F.filter(chains, lambda p: p.isNotNull() & ~p.endswith(f" {_END}")))
+
+    def hashes(p: Column) -> Column:
+        words = F.split(F.substring_index(p, "|", 1), " ")
+        return F.transform(F.array_distinct(F.slice(words, F.lit(1), F.size(words) - 1)), lambda a: F.xxhash64(F.concat(a, F.lit(" "), word(p))))
+
+    df = df.withColumn(out, F.array_distinct(F.flatten(F.transform("_pieces", hashes))))
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.xxhash64("_norm")))).drop("_norm", "_pieces")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -67,9 +99,9 @@ def fingerprint(sigs: Column) -> Column:
     return F.concat_ws("-", F.size(sigs).cast("string"), F.sha2(F.array_join(F.array_sort(sigs).cast("array<string>"), ","), 256))
 
 
-def size_partition(sigs: Column, likeness: float) -> Column:
+def size_partition(size: Column, likeness: float) -> Column:
     """Sets at least so alike are in the same partition or in neighbouring ones."""
-    return F.floor(F.log(F.size(sigs).cast("double")) / -F.log(F.lit(likeness)))
+    return F.floor(F.log(size.cast("double")) / -F.log(F.lit(likeness)) + 1e-9).cast("int")
 
 
 def jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
@@ -77,45 +109,135 @@ def jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     same = F.size(F.array_intersect(a, b))
     exact = same.cast("double") / (F.size(a) + F.size(b) - same)
-    return F.when(small >= large * F.lit(at_least), exact).otherwise(F.lit(0.0)) if at_least else exact
+    return F.when(small >= large * F.lit(at_least - 1e-9), exact).otherwise(F.lit(0.0)) if at_least else exact
+
+
+# ---- near copies -----------------------------------------------------------
+
+
+def _frequencies(rows: DataFrame) -> DataFrame:
+    """One row: ``_often``, an array of ``COUNTERS`` bytes, the binary length of how often signatures of each counter occur."""
+    counted = rows.select(F.explode("_sigs").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).alias("slot")).agg(F.length(F.bin(F.count(F.lit(1)))).cast("tinyint").alias("c"))
+    every = rows.sparkSession.range(COUNTERS).withColumnRenamed("id", "slot").join(counted, "slot", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("c", F.lit(0).cast("tinyint")).alias("c")))), lambda x: x["c"]).alias("_often"))
+
+
+def _prefixes(rows: DataFrame, likeness: float) -> DataFrame:
+    """(_node, _size, _token, _place): of each set as many of its rarest signatures as sets so alike can't all miss."""
+    often = keep(_frequencies(rows), "spot-frequencies")
+    rare = F.array_sort(F.expr(f"transform(_sigs, s -> named_struct('c', element_at(_often, cast(pmod(s, {COUNTERS}) AS int) + 1), 's', s))"))
+    take = F.col("_size") - F.ceil(F.col("_size") * likeness - 1e-9).cast("int") + 1
+    placed = rows.crossJoin(F.broadcast(often)).withColumn("_size", F.size("_sigs"))  # one row, its size fixed by COUNTERS
+    return placed.select("_node", "_size", F.posexplode(F.slice(rare, F.lit(1), take)).alias("_place", "x")).select("_node", "_size", F.col("x.s").alias("_token"), "_place")
+
+
+def _scored(pairs: DataFrame, rows: DataFrame, at_least: float) -> DataFrame:
+    """(a, b, j): the likeness of the sets of two nodes. Only sets that some pair names are moved."""
+    nodes = keep(pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct(), "spot-nodes")
+    held = filtered(rows, nodes, "_node").groupBy("_node").agg(F.first("_sigs").alias("_sigs"))
+    held = keep(held, "spot-sets")
+    one, two = held.select(F.col("_node").alias("a"), F.col("_sigs").alias("s1")), held.select(F.col("_node").alias("b"), F.col("_sigs").alias("s2"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", jaccard(F.col("s1"), F.col("s2"), at_least).alias("j"))
+
+
+def alike_links(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
+    """(a, b): links between the nodes of (_node, _sigs) that reach whatever links between all alike sets reach."""
+    prefixes = keep(_prefixes(rows, likeness), "spot-prefixes")
+    shared = prefixes.groupBy("_token").agg(F.min("_node").alias("lo"), F.max("_node").alias("hi")).where("lo <> hi").select("_token")
+    shared = keep(shared, "spot-shared")
+    members = filtered(prefixes, shared, "_token").join(shared, "_token", "left_semi").groupBy("_token", "_node").agg(F.first("_size").alias("_size"), F.first("_place").alias("_place"))
+    part = size_partition(F.col("_size"), likeness)
+    blocks = keep(members.withColumn("_part", F.explode(F.array(part, part - 1))), "spot-blocks")
+    where = ["_part", "_token"]
+    pivots = blocks.groupBy(*where).agg(F.min(F.struct("_size", "_node")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*where, F.col("p._node").alias("_pivot"))
+    blocks = keep(blocks.join(pivots, where), "spot-pivots")
+    near = keep(_scored(blocks.where("_node <> _pivot").select(F.col("_pivot").alias("a"), F.col("_node").alias("b")).distinct(), rows, 0.0), "spot-near")
+    links = near.where(F.col("j") >= likeness - 1e-9).select("a", "b")
+    roots = components(links).withColumnRenamed("node", "_node").withColumnRenamed("root", "_root")
+    placed = blocks.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    placed = keep(placed.join(near.select(F.col("a").alias("_pivot"), F.col("b").alias("_node"), "j"), ["_pivot", "_node"], "left").withColumn("j", F.coalesce("j", F.lit(1.0))), "spot-placed")
+    # a pivot is through with its block
+    open_ = placed.groupBy(*where).agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select(*where)
+    rest = keep(placed.where("_node <> _pivot").join(open_, where, "left_semi").select(*where, "_node", "_size", "_place", "_root", "j"), "spot-rest")
+    one, two = (rest.select(*where, *[F.col(c).alias(f"{c}{k}") for c in ("_node", "_size", "_place", "_root", "j")]) for k in (1, 2))
+    sizes = (F.col("_size1") <= F.col("_size2")) & (F.col("_size1") >= F.col("_size2") * F.lit(likeness - 1e-9)) & ((F.col("_size1") < F.col("_size2")) | (F.col("_node1") < F.col("_node2")))
+    # if the signature is the first that both have, so many can be in common at most
+    common = F.least(F.col("_size1") - F.col("_place1"), F.col("_size2") - F.col("_place2"))
+    places = common >= (F.col("_size1") + F.col("_size2")) * F.lit(likeness / (1 + likeness) - 1e-9)
+    # 1 - likeness is a metric
+    distances = F.abs(F.col("j1") - F.col("j2")) <= 1 - likeness + 1e-9
+    pairs = one.join(two, where).where((F.col("_root1") != F.col("_root2")) & sizes & places & distances).select(F.col("_node1").alias("a"), F.col("_node2").alias("b")).distinct()
+    more = _scored(keep(pairs, "spot-pairs"), rows, likeness).where(F.col("j") >= likeness - 1e-9).select("a", "b")
+    return links.unionByName(more)
+
+
+def near_classes(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
+    """(fingerprint, near_class) for the different fingerprints of (_id, fingerprint, signatures).
+
+    ``near_class`` is the smallest id that chains of sets alike to ``likeness``
+    reach. Equal sets are one node; nodes are 64-bit digests of fingerprints.
+    """
+    rows = rows.withColumn("_node", F.xxhash64("fingerprint"))
+    least = keep(rows.groupBy("fingerprint", "_node").agg(F.min("_id").alias("_least")), "spot-least")
+    sets = rows.select("_node", F.col("signatures").alias("_sigs"))
+    named = component_ids(least.select("_node", "_least"), components(alike_links(sets, likeness)))
+    return least.select("fingerprint", "_node").join(named, "_node").select("fingerprint", F.col("component_id").alias("near_class"))
+
+
+# ---- a document and the next ------------------------------------------------
+
+
+def _below(x: str, how: str) -> Column:
+    """How many of the sorted array ``_bounds`` are ``how`` (``<`` or ``<=``) ``x``, by halving."""
+    middle = "cast((a.lo + a.hi) div 2 AS int)"
+    step = f"CASE WHEN a.lo >= a.hi THEN a WHEN _bounds[{middle}] {how} {x} THEN named_struct('lo', {middle} + 1, 'hi', a.hi) ELSE named_struct('lo', a.lo, 'hi', {middle}) END"
+    return F.expr(f"aggregate(sequence(0, length(bin(size(_bounds)))), named_struct('lo', 0, 'hi', size(_bounds)), (a, i) -> {step}, a -> a.lo)")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_block``: ascending blocks are ascending ids, null first; rows of one id that fills several blocks are split by ``_tie``.
+
+    Bounds come from a sample and only say where to cut.
+    """
+    blocks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, PER_BOUND * blocks / max(1, rows.count()))
+    drawn = rows.select("_id").sample(share, 7) if share < 1 else rows.select("_id")
+    cuts = F.percentile_approx("_id", [k / blocks for k in range(1, blocks)], PER_BOUND * blocks)
+    bounds = drawn.agg(F.coalesce(F.sort_array(cuts), F.array().cast("array<bigint>")).alias("_bounds"), F.greatest(F.lit(1), F.ceil(F.count_if(F.col("_id").isNull()) * blocks / F.greatest(F.count(F.lit(1)), F.lit(1)))).alias("_nulls"))
+    within = F.col("_tie") / F.lit(float(1 << 63))
+    low, high = _below("_id", "<"), _below("_id", "<=")
+    block = F.when(F.col("_id").isNull(), F.floor(within * F.col("_nulls")) - F.col("_nulls")).otherwise(low + F.floor(within * (high - low + 1)))
+    return rows.crossJoin(F.broadcast(keep(bounds, "spot-bounds"))).withColumn("_block", block.cast("int")).drop("_bounds", "_nulls")  # one row
 
 
 def with_next(rows: DataFrame, enriched: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
     """``enriched(rows)`` (of _id, _tie and more) with ``_next``, a struct of ``columns`` of the next row by descending id, the first after the last.
 
-    Rows are dealt to blocks of ids between quantiles and follow each other
-    within their block; the last row of a block looks at the first of the next.
+    Rows are dealt to blocks of ids and follow each other within their block; the
+    last row of a block looks at the first of the next. ``_tie`` is a long from 0 on.
     """
-    spark = rows.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx("_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []
-    bounds = sorted(set(bounds))
-    known = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>")
-    block = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(known, lambda b: b < F.col("_id"))))
-    order = Window.partitionBy("_block").orderBy(F.col("_id").desc_nulls_last(), "_tie")
+    dealt = _dealt(rows)
+    order = Window.partitionBy("_block").orderBy(F.col("_id").asc_nulls_first(), "_tie")
+    down = Window.partitionBy("_block").orderBy(F.col("_id").desc_nulls_last(), F.col("_tie").desc())
     ahead = F.struct(*columns)
-    dealt = rows.withColumn("_block", block)
-    placed = enriched(dealt).withColumn("_ahead", F.lead(ahead).over(order))
-    blocks = keep(rows.select(block.alias("_block")).groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), "spot-blocks")
-    down = Window.orderBy(F.col("_block").desc())  # one row per block
-    follow = blocks.select("_block", F.coalesce(F.lead("_block").over(down), F.max("_block").over(Window.partitionBy())).alias("_follows"))
-    first = dealt.withColumn("_place", F.row_number().over(order)).where("_place = 1")  # pruned to one row of a block and task first
+    # texts are dealt out before they are enriched, so only they are moved
+    placed = enriched(dealt.repartition("_block")).withColumn("_ahead", F.lag(ahead).over(order))
+    blocks = keep(dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), "spot-blocks")
+    upwards = Window.orderBy("_block")  # one row per block
+    follow = blocks.select("_block", F.coalesce(F.lag("_block").over(upwards), F.max("_block").over(Window.partitionBy())).alias("_follows"))
+    first = dealt.withColumn("_place", F.row_number().over(down)).where("_place = 1")  # pruned to one row of a block and task first
     heads = enriched(first).select(F.col("_block").alias("_follows"), ahead.alias("_head"))
     ends = follow.join(heads, "_follows").select("_block", "_head")
     return placed.join(ends, "_block", "left").withColumn("_next", F.coalesce("_ahead", "_head")).drop("_ahead", "_head", "_block")
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_chars, the text whose end is the next document's start, both fingerprints and likenesses."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
-
-    def signed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_norm", normalised(F.col("_text"))).withColumn("_sigs", signatures(F.col("_norm"))).drop("_norm")
-
-    pairs = with_next(rows.withColumn("_tie", F.xxhash64("_text")), signed, ["_text", "_sigs"]).withColumn("_n", F.length("_text")).withColumn("_half", F.floor(F.col("_n") / 2).cast("int"))
+    """Per row: id, n_chars, the text whose end is the next document's start, both fingerprints, likenesses and the set of signatures."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_tie", F.shiftrightunsigned(F.xxhash64("_text"), 1))
+    pairs = with_next(rows, lambda df: with_signatures(df, "_text", "_sigs"), ["_text", "_sigs"]).withColumn("_n", F.length("_text")).withColumn("_half", F.floor(F.col("_n") / 2).cast("int"))
     pairs = pairs.withColumn("_edited", F.concat(F.expr("substring(_text, 1, _n - _half)"), F.expr("substring(_next._text, 1, _half)")))
-    pairs = pairs.withColumn("_edited_norm", normalised(F.col("_edited"))).withColumn("_edited_sigs", signatures(F.col("_edited_norm")))
+    pairs = with_signatures(pairs, "_edited", "_edited_sigs")
     return pairs.select(
         F.col("_id").alias(id_col),
         F.col("_n").cast("long").alias("n_chars"),
@@ -124,4 +246,13 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fingerprint(F.col("_edited_sigs")).alias("edited_fingerprint"),
         jaccard(F.col("_sigs"), F.col("_edited_sigs")).alias("near_edited"),
         jaccard(F.col("_sigs"), F.col("_next._sigs")).alias("near_next"),
+        F.col("_sigs").alias("signatures"),
     )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = ALIKE) -> DataFrame:
+    """One row per input row: id, fingerprint, near_class (the smallest id that near copies reach)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    sets = with_signatures(rows, "_text", "signatures").select("_id", fingerprint(F.col("signatures")).alias("fingerprint"), "signatures")
+    sets = keep(sets, "spot-rows")
+    return sets.select("_id", "fingerprint").join(near_classes(sets, likeness), "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "near_class")

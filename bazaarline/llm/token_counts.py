@@ -5,9 +5,10 @@ anything else could change the count), each tokenizer by the SHA-256 of its
 file. Counts that the cache has are looked up; of the others each distinct text
 is encoded once and appended to the cache, from which all documents then read.
 
-Digests that one document alone has are encoded where they lie. Only texts whose
-digest several documents miss are shuffled, pre-aggregated to one per map task,
-told apart by bitmaps of fixed size.
+Missed texts that one document alone has are encoded where they lie; those of
+several documents are shuffled, pre-aggregated to one per map task. Where the cache
+has some of the texts, what a bitmap of the misses lets through is joined to them
+before it is encoded, so no cached text is encoded again.
 
 Defined cases: null text counts as empty, 0 tokens; repeated rows each get a row
 out; an empty table gives no rows and appends nothing; columns other than id
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .membership import BITS, bitmap, with_membership
+from .membership import MOST, bitmap, filtered, with_membership
 from .storage import keep
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -69,7 +70,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
-def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens. Appends what it had to encode to the cache."""
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
@@ -83,12 +84,12 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col:
 
     wanted = keep(rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")), "count-digests")
     missed = keep(wanted.join(cached(), "_digest", "left_anti").withColumn("_key", F.xxhash64("_digest")), "count-missed")
-    any_miss, many = keep(bitmap(missed, "_key", bits), "count-marks"), keep(bitmap(missed.where("_n > 1"), "_key", bits), "count-many")
-    texts = with_membership(own.withColumn("_key", F.xxhash64("_digest")), any_miss, "_key", "_missed", bits).where("_missed")
-    texts = with_membership(texts, many, "_key", "_many", bits)
+    texts = own.withColumn("_key", F.xxhash64("_digest"))
+    if missed.count() < wanted.count():
+        texts = filtered(texts, missed, "_key", most).join(missed.select("_digest"), "_digest", "left_semi")
+    texts = with_membership(texts, bitmap(keep(missed.where("_n > 1"), "count-many"), "_key", most), "_key", "_many")
     alone = _encode(texts.where("not _many"), tokenizer_path)
-    once = _encode(texts.where("_many").groupBy("_digest").agg(F.first("_text").alias("_text")), tokenizer_path)
-    new = alone.unionByName(once).join(missed.select("_digest"), "_digest", "left_semi")
+    new = alone.unionByName(_encode(texts.where("_many").groupBy("_digest").agg(F.first("_text").alias("_text")), tokenizer_path))
     new.select(F.lit(version).alias("tokenizer"), F.col("_digest").alias("digest"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = keep(wanted.select("_digest").join(cached(), "_digest"), "count-known")
     return rows.join(counts, "_digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens")

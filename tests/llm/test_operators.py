@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from bazaarline.llm import bpe_chunks, exact_dedup, language, membership, mixing, quality, queries, sanitise, simhash, spotsigs, storage, token_counts, token_files
+from bazaarline.llm import bpe_chunks, exact_dedup, language, membership, mixing, quality, queries, sanitise, simhash, storage, token_counts, token_files
 from bazaarline.llm.bpe_kernel import Encoder
 
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -66,12 +66,19 @@ def norm(text):
 
 def test_membership_has_no_false_negative(spark):
     keys = spark.range(1000).select((F.col("id") * 7919 - 300_000).alias("k"))
-    marks = membership.bitmap(keys, "k", 1 << 16)
-    found = membership.with_membership(keys, marks, "k", "m", 1 << 16)
-    assert found.where("m").count() == 1000
-    others = membership.with_membership(spark.range(10_000_000, 10_004_000).toDF("k"), marks, "k", "m", 1 << 16)
-    assert others.where("m").count() < 400
-    assert membership.with_membership(keys, membership.bitmap(keys.limit(0), "k"), "k", "m").where("m").count() == 0
+    marks = membership.bitmap(keys, "k")
+    assert marks.bits == 1 << 15 and membership.bits_for(1_000_000) == 1 << 24 and membership.bits_for(1 << 40) == membership.MOST
+    assert membership.with_membership(keys, marks, "k", "m").where("m").count() == 1000
+    assert membership.with_membership(spark.range(10_000_000, 10_004_000).toDF("k"), marks, "k", "m").where("m").count() < 400
+    assert membership.filtered(keys, keys.limit(0), "k").count() == 0
+
+
+def test_work_tables_are_dropped(spark):
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    with storage.work_tables() as made:
+        out = storage.finished(storage.keep(spark.range(5), "one").withColumn("x", F.lit(1)), "two", made)
+    files = where(made[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert [files.exists(where(p)) for p in made] == [False, True] and out.count() == 5
 
 
 # ---- 1
@@ -192,7 +199,7 @@ def test_token_counts_and_cache(spark, docs, empty):
         assert Counter(map(tuple, token_counts.count_tokens(docs.repartition(n), cache, PIECE_BPE).collect())) == want
         assert token_counts.read_cache(spark, cache).count() == len({r[1] or "" for r in ROWS})
     more = spark.createDataFrame([(1, "a new text"), (2, "a")], "doc_id long, text string")
-    assert Counter(map(tuple, token_counts.count_tokens(more, cache, PIECE_BPE, bits=1 << 15).collect())) == Counter([(1, 10, len(model.encode("a new text"))), (2, 1, len(model.encode("a")))])
+    assert Counter(map(tuple, token_counts.count_tokens(more, cache, PIECE_BPE).collect())) == Counter([(1, 10, len(model.encode("a new text"))), (2, 1, len(model.encode("a")))])
     library = Tokenizer.from_file(BYTE_BPE)
     assert {r.n_tokens for r in token_counts.count_tokens(more, cache, BYTE_BPE).collect()} == {len(library.encode(t).ids) for t in ("a new text", "a")}
     assert token_counts.count_tokens(empty, storage.work_path(spark, "test-counts"), PIECE_BPE).count() == 0
@@ -278,14 +285,14 @@ def clustered(n, spread, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("leaf", [8, 512])
-def test_index_finds_all_links_of_hot_groups(spark, monkeypatch, leaf):
+@pytest.mark.parametrize(("leaf", "blocks"), [(8, 4), (512, 4), (8, 5), (64, 6)])
+def test_index_finds_all_links_of_hot_groups(spark, monkeypatch, leaf, blocks):
     monkeypatch.setattr(simhash, "LEAF", leaf)
     monkeypatch.setattr(simhash, "UPPER", 4)
     fps = clustered(1200, 5, leaf)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     rows = spark.createDataFrame([(x, [x]) for x in signed], "_node long, _fp array<long>").repartition(5)
-    edges = simhash.links(rows)
+    edges = simhash.links(rows, blocks=blocks)
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     roots = plain_components(fps, 3)
     plain, found = defaultdict(set), defaultdict(set)
@@ -295,6 +302,18 @@ def test_index_finds_all_links_of_hot_groups(spark, monkeypatch, leaf):
     assert sorted(map(sorted, plain.values())) == sorted(map(sorted, found.values()))
 
 
+def test_fronts_get_longer_with_the_data():
+    assert [simhash.front_blocks(n, 3) for n in (1, 1 << 22, 1 << 23, 1 << 31, 1 << 40)] == [4, 4, 5, 5, 6]
+    for blocks, ways in ((4, 4), (5, 10), (6, 20)):
+        found = simhash._arrangements(1, 3, None, blocks)
+        assert len(found) == ways and all(sorted(x for low, high in order for x in range(low, high)) == list(range(64)) for _, order, _ in found)
+        assert min(width for _, _, width in found) >= (16, 25, 32)[blocks - 4]
+    assert simhash.wide_shape(1 << 24) == (8, 12) and simhash.wide_shape(1 << 26)[1] == 14
+    for n in (1 << 25, 1 << 28, 1 << 30):
+        words, band = simhash.wide_shape(n)
+        assert (1 - simhash.WIDE_EQUAL**band) ** (words * (64 // band)) <= simhash.WIDE_MISSED
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(60)]
     star = [(100, 100 + k) for k in range(1, 200)]
@@ -390,8 +409,8 @@ def test_exact_dedup(docs, empty):
         kept = r[0] == keep and not stay[(keep, norm(r[1]))]
         stay[(keep, norm(r[1]))] += kept
         want[(r[0], keep, len(groups[norm(r[1])]), bool(kept), sha(norm(r[1])))] += 1
-    for bits in (membership.BITS, 1 << 15):
-        got = exact_dedup.duplicate_groups(docs, digest=True, bits=bits).collect()
+    for most in (membership.MOST, 1 << 15):
+        got = exact_dedup.duplicate_groups(docs, digest=True, most=most).collect()
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
     left = exact_dedup.drop_duplicates(docs)
     assert left.columns == docs.columns
@@ -461,54 +480,6 @@ def test_base_spans(spark, docs, empty):
     assert sanitise.report(empty).count() == 0
 
 
-def test_disclosing_terms(spark):
-    filler = "common words stand here everywhere"
-    rows = [(k, f"note {k}{chr(97 + k)} {filler} the zanzibar dossier of jo@corp.example {filler}") for k in range(5)]
-    rows += [(10 + k, f"letter {k} {filler} from ann{k}@corp.example {filler}") for k in range(30)]
-    rows += [(100 + k, f"text {k} {filler} about nothing") for k in range(100)]
-    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_all", F.lit("clash"))
-    got = {r.doc_id: r for r in sanitise.report(table).collect()}
-    for k, text in rows:
-        terms = [text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in got[k].spans.split(",") if s) if kind == "term"]
-        assert set(terms) == ({"zanzibar", "dossier", "note"} & set(terms) if k < 5 else set())
-        assert k >= 5 or {"zanzibar", "dossier"} <= set(terms)
-    clean = {r.doc_id: r for r in sanitise.sanitise(table).collect()}
-    assert "jo@corp" not in clean[0].sanitised and "zanzibar" not in clean[0].sanitised and "[EMAIL]" in clean[0].sanitised
-    assert clean[100].sanitised == clean[100].text and clean[0]._all == "clash"
-
-
-# ---- 10
-
-
-def test_spotsigs(docs, empty):
-    got = spotsigs.compare_with_edits(docs).collect()
-    by_id = defaultdict(list)
-    for r in got:
-        by_id[r.doc_id].append(r)
-    ordered = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    for k, r in enumerate(ordered):
-        text, after = r[1] or "", ordered[(k + 1) % len(ordered)][1] or ""
-        half = len(text) // 2
-        edited = text[: len(text) - half] + after[:half]
-        assert any((g.n_chars, g.edited) == (len(text), edited) for g in by_id[r[0]]), r[0]
-    known, prints = {r[0]: r[1] or "" for r in ROWS}, {}
-    for g in got:
-        assert 0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1
-        assert prints.setdefault(known[g.doc_id], g.fingerprint) == g.fingerprint
-        if g.edited == known[g.doc_id]:
-            assert g.fingerprint == g.edited_fingerprint and g.near_edited == 1
-    assert len(set(prints.values())) >= len({" ".join(re.findall(r"[^\W_]+", t.lower())) for t in prints}) - 3
-    assert spotsigs.compare_with_edits(empty).count() == 0
-
-
-def test_signatures_are_chains_after_anchors(spark):
-    norm_text = "at a rally to kick off a weeklong campaign for the south carolina primary"
-    got = spark.range(1).select(spotsigs.signatures(F.lit(norm_text)).alias("s"), *[F.xxhash64(F.lit(x)).alias(n) for n, x in (("a", "a rally kick"), ("b", "the south carolina"), ("c", "for south carolina"), ("d", "a weeklong campaign"))]).first()
-    assert {got.a, got.b, got.c, got.d} <= set(got.s)
-    pair = spark.range(1).select(spotsigs.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3), F.lit(4))).alias("j"), spotsigs.jaccard(F.array(F.lit(1)), F.array(*[F.lit(k) for k in range(1, 9)]), 0.5).alias("p")).first()
-    assert pair.j == pytest.approx(0.25) and pair.p == 0.0
-
-
 # ---- the pipeline
 
 
