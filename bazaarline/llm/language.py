@@ -4,8 +4,11 @@ A text is the mean of the embeddings of its hashed letter n-grams (within words,
 with word ends), under a linear softmax over the languages seen in training.
 Embeddings and softmax are trained together by stochastic gradient descent in
 numpy, on a bounded, documented sample: about ``PER_LANGUAGE`` labelled documents
-of each language, chosen by a hash of their id. A part of the sample is held back
-to fit the temperature of the probabilities and the rejection threshold.
+of each of the ``MAX_LANGUAGES`` most frequent languages (of equally frequent ones
+the first by name), chosen by a hash of id and text. The sample comes to the driver
+as n-gram counts, of ``MAX_GRAMS`` different n-grams in all and the same share for
+each language, so its bytes are bounded whatever the texts. A part of the sample is
+held back to fit the temperature of the probabilities and the rejection threshold.
 
 Since mean and softmax input are linear, tasks get one small table of n-gram
 bucket by language, whose size depends on ``BUCKETS`` and the number of
@@ -24,11 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import keep
+
 PER_LANGUAGE = 300
-MAX_LANGUAGES = 512
+#: Languages that are learned, and different n-grams of all sampled documents, of 8 bytes each.
+MAX_LANGUAGES, MAX_GRAMS = 512, 1 << 25
 BUCKETS, DIMENSIONS = 1 << 15, 16
 GRAMS = (2, 3, 4)
 EPOCHS, RATE = 6, 1.0
@@ -145,22 +151,22 @@ def held_out(doc_id: Column) -> Column:
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """From (_id, _text, _lang) rows: count languages, draw the sample, collect its bags."""
     known = rows.where(F.col("_lang").isNotNull())
-    counts = known.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = known.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return sgd([])
     rates = F.create_map(*[F.lit(v) for r in counts for v in (r["_lang"], min(1.0, per_language / r["count"]))])
-    place = F.pmod(F.xxhash64(F.col("_id"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(place < rates[F.col("_lang")])
+    place = F.pmod(F.xxhash64(F.lit("language"), F.col("_id"), F.col("_text")), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.withColumn("_place", place).where(F.col("_place") < rates[F.col("_lang")])
 
     def bags(batches):
         for pdf in batches:
-            some = [(i, lang, *bag(text)) for i, lang, text in zip(pdf["_id"], pdf["_lang"], pdf["_text"], strict=True) if has_letter(text)]
-            yield pd.DataFrame(some, columns=["_id", "_lang", "idx", "w"])
+            some = [(i, lang, place, *bag(text)) for i, lang, place, text in zip(pdf["_id"], pdf["_lang"], pdf["_place"], pdf["_text"], strict=True) if has_letter(text)]
+            yield pd.DataFrame(some, columns=["_id", "_lang", "_place", "idx", "w"])
 
-    drawn = sample.mapInPandas(bags, "_id long, _lang string, idx array<int>, w array<float>").toPandas()
-    drawn = drawn.sort_values("_id", kind="stable")
+    drawn = keep(sample.mapInPandas(bags, "_id long, _lang string, _place double, idx array<int>, w array<float>"), "language-bags")
+    upto = F.sum(F.size("idx")).over(Window.partitionBy("_lang").orderBy("_place", "_id").rowsBetween(Window.unboundedPreceding, 0))  # of some hundred rows
+    drawn = drawn.withColumn("_upto", upto).where(F.col("_upto") <= MAX_GRAMS // len(counts)).toPandas()
+    drawn = drawn.sort_values(["_place", "_id"], kind="stable")
     return sgd([(lang, np.asarray(i), np.asarray(w, np.float32)) for lang, i, w in zip(drawn["_lang"], drawn["idx"], drawn["w"], strict=True)])
 
 

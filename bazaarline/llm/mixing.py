@@ -3,12 +3,14 @@
 Every document of a source expects ``target / source_size`` copies. Summed up in
 order within the source, from one random offset on, a document is emitted once
 for each integer that the sum passes while it is added. Documents are taken in
-order of size, so each source's words come near its target.
+order of size, then of a digest of id and text, so each source's words come near
+its target and reruns agree.
 
 The running sum of a hot source isn't made in one task: documents are dealt to
-blocks (source, size class, hash bucket), ranked in their block, and blocks are
-pre-aggregated rows whose own running sum is small. Sizes of sources and blocks
-count every document.
+blocks (source, size class, bucket of the digest), ranked in their block, and blocks
+are pre-aggregated rows whose own running sum is small. Sizes of sources and blocks
+count every document. Sources are a dimension: their targets come from one sort of
+a row per source.
 
 Defined cases: null text has size 0; a null source is a source of its own,
 ordered last; sources of size 0 have target 0 and give no copies; null ids are
@@ -63,10 +65,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
 
 def with_copies(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """(_row, _id, size, source_size, target, copies) per document; ``_row`` is a struct of the ``carry`` columns."""
-    key = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("null")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"))
     box = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
-    rows = docs.select(box.alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("_md5", key).withColumn("_class", _size_class("size"))
+    rows = docs.select(box.alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words(F.col(text_col)).alias("size"), key.alias("_md5"))
+    rows = rows.withColumn("_class", _size_class("size"))
     rows = rows.withColumn("_bucket", F.concat(F.substring("_md5", 1, 1), F.translate(F.substring("_md5", 2, 1), "0123456789abcdef", "0000111122223333")))
     rows = rows.withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n")))
     if not carry:  # without texts it is cheaper to keep the rows than to count words twice
@@ -80,7 +82,7 @@ def with_copies(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_
     blocks = blocks.select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_src")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     blocks = keep(blocks.join(targets, "_src").withColumn("_offset", offset), "mix-offsets")
-    inside = Window.partitionBy(*block).orderBy("size", "_md5", "_id")
+    inside = Window.partitionBy(*block).orderBy("size", "_md5")
     # rows lie by block already, so only the other side moves; merging never gathers it on the driver
     ranked = rows.withColumn("_in_block", F.row_number().over(inside)).join(blocks.hint("merge"), block)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .membership import filtered
 from .storage import keep
 
 NAMES = ("words", "word_length", "upper", "symbols", "pipes", "bangs", "digits", "stops", "repeats", "variety", "same_lines")
@@ -122,23 +123,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the kept (id, _stats) of all rows. Statistics, not texts, are joined to labels."""
-    stats = keep(with_statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "_stats"), "quality-stats")
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where(~held_out(F.col("_id")))
-    return train(stats.join(marked, "_id"), F.col("_quality")), stats
+def _marked(labels: DataFrame) -> DataFrame:
+    marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
+    return marked.where(~held_out(F.col("_id")) & F.col("_quality").isin(0, 1))
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model from all labelled rows. Statistics are made of what a bitmap of their ids lets through, and joined to labels instead of texts."""
+    marked = _marked(labels)
+    ids = keep(marked.select(F.col("_id").cast("long").alias("_id")).distinct(), "quality-ids")
+    stats = with_statistics(filtered(_own(docs, id_col, text_col), ids, "_id"), "_text").select("_id", "_stats")
+    return train(stats.join(marked, "_id"), F.col("_quality"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score, predicted."""
-    model, stats = fit(docs, labels, id_col, text_col)
-    scored = score(stats, model)
+    stats = keep(with_statistics(_own(docs, id_col, text_col), "_text").select("_id", "_stats"), "quality-stats")
+    scored = score(stats, train(stats.join(_marked(labels), "_id"), F.col("_quality")))
     return scored.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns; texts are scored where they lie."""
-    model, _ = fit(docs, labels, id_col, text_col)
+    model = fit(docs, labels, id_col, text_col)
     udf = F.pandas_udf(lambda texts: pd.Series(model.scores(np.array([statistics(t) for t in texts])) if len(texts) else []), "double")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), udf(F.col(text_col).cast("string")).alias("_score"))
     return boxed.where(F.col("_score") >= THRESHOLD).select("_row.*")

@@ -88,7 +88,7 @@ ORACLES = {
     "op2_mixing": r"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                 md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+                 md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS h FROM documents
         ), s AS (
           SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
         ), r AS (

@@ -13,7 +13,8 @@ never read: only files named in the manifest, which holds the rows of tasks that
 ended well, belong to the corpus.
 
 Defined cases: null text counts as empty and holds only the end id; null
-document ids come first; repeated rows are written each; an empty table makes no
+document ids come first; rows of one id follow each other by a digest of their
+text and may fill several shards; repeated rows are written each; an empty table makes no
 files; columns other than id and text are not read.
 """
 
@@ -112,8 +113,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             shard.close()
             yield pa.RecordBatch.from_pylist([{"shard": number, "file": shard.file, "index": shard.index, "n_tokens": shard.n_tokens, "n_docs": shard.n_docs}], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("index", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    shards = keep(own.repartitionByRange("_id").sortWithinPartitions("_id").mapInArrow(write, MANIFEST), "token-manifest")
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    shards = keep(own.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie").drop("_tie").mapInArrow(write, MANIFEST), "token-manifest")
     # one row per shard file
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
