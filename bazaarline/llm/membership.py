@@ -15,8 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep
-
 #: Bits in one row of a bitmap; what ``bitmap_construct_agg`` fills.
 ROW_BITS = 32_768
 #: Bits for each key; most bits of a bitmap: 2**30 are 128 MB.
@@ -52,7 +50,7 @@ def bitmap(keys: DataFrame, key: str, most: int = MOST) -> Bitmap:
         .groupBy("_block")
         .agg(F.bitmap_construct_agg("_pos").alias("_bits"))
     )
-    return Bitmap(keep(rows, "bitmap"), bits)
+    return Bitmap(rows, bits)
 
 
 def with_membership(df: DataFrame, marks: Bitmap, key: str, out: str) -> DataFrame:

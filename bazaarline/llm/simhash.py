@@ -386,13 +386,13 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
     state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     while state[0]:
-        both, both_at = kept(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "components-both")
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least, least_at = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "components-least")
         large, large_at = kept(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "components-large")
         lesser, lesser_at = kept(large.groupBy("a").agg(F.min("b").alias("m")), "components-lesser")
         small = large.join(lesser, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lesser.select("a", F.col("m").alias("b")))
         new, new_at = kept(small.where("a <> b").distinct(), "components")
-        for old in (path, both_at, least_at, large_at, lesser_at):
+        for old in (path, least_at, large_at, lesser_at):
             drop(spark, old)
         was, state = state, new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         now, path = new, new_at

@@ -1,10 +1,11 @@
 """SpotSigs fingerprints and near copies, in DataFrame operations only.
 
 A signature is a common word, the anchor, with the next content words after it,
-common words between them left out. Articles and the like stand everywhere in
+common words between them left out. Of common words in a row the last is the
+anchor, as the others would begin the same chain; so each word is looked at a few
+times only, and a text costs linear time. Articles and the like stand everywhere in
 running prose and hardly in lists and boilerplate, so the set of a text's
-signatures is its fingerprint. Words are looked at once, in pieces of anchors
-and the content word that ends them, so a text costs linear time.
+signatures is its fingerprint.
 
 Near copies are sets alike to ``ALIKE`` by Jaccard similarity
 (:func:`near_classes`). Each set brings only its rarest signatures, so many that
@@ -73,25 +74,17 @@ def normalised(text: Column) -> Column:
 def with_signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
     """``df`` with the set ``out`` of signatures of a text column that is not null.
 
-    A signature is the hash of an anchor, a space and its chain, words joined by
-    ``|``. What is used twice has a column, as Spark would compute it twice.
+    A signature is the hash of an anchor and its chain, with a space between words;
+    a full stop for the end of the text ends a chain. What is used twice has a column,
+    as Spark would compute it twice.
     """
-    piece = f"(?:{_trie(sorted(set(anchors)))} )*+[^ ]++"  # anchors, if any, and the content word after them
+    anchor = f"(?:{_trie(sorted(set(anchors)))})"
+    first = rf"(?<![^ ])(?=({anchor} (?!{anchor} |\{_END})[^ ]++(?: (?:{anchor} )*+[^ ]++){{0,{chain - 1}}}+)){anchor} "
     df = df.withColumn("_norm", normalised(F.col(text)))
-    df = df.withColumn("_pieces", F.regexp_extract_all(F.concat("_norm", F.lit(f" {_END}")), F.lit(piece), F.lit(0)))  # the last one ends the text
-    word = lambda p: F.substring_index(p, " ", -1)
-    chains = F.transform("_pieces", lambda p: F.when(F.instr(p, " ") > 0, p))
-    for k in range(1, chain):
-        after = F.slice("_pieces", F.lit(k + 1), F.size("_pieces"))
-        chains = F.zip_with(chains, after, lambda p, q: F.when(q.isNull() | (word(q) == _END), p).otherwise(F.concat(p, F.lit("|"), word(q))))
-    df = df.withColumn("_pieces", F.filter(chains, lambda p: p.isNotNull() & ~p.endswith(f" {_END}")))
-
-    def hashes(p: Column) -> Column:
-        words = F.split(F.substring_index(p, "|", 1), " ")
-        return F.transform(F.array_distinct(F.slice(words, F.lit(1), F.size(words) - 1)), lambda a: F.xxhash64(F.concat(a, F.lit(" "), word(p))))
-
-    df = df.withColumn(out, F.array_distinct(F.flatten(F.transform("_pieces", hashes))))
-    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.xxhash64("_norm")))).drop("_norm", "_pieces")
+    df = df.withColumn("_chains", F.array_join(F.regexp_extract_all(F.concat("_norm", F.lit(f" {_END}")), F.lit(first), F.lit(1)), "|"))
+    bare = F.regexp_replace("_chains", f" {anchor}(?= )", "")  # all but the first word are content words once the anchors among them are gone
+    hashes = F.array_distinct(F.transform(F.split(bare, r"\|"), lambda s: F.xxhash64(s)))
+    return df.withColumn(out, F.when(F.col("_chains") == "", F.array(F.xxhash64("_norm"))).otherwise(hashes)).drop("_norm", "_chains")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -123,12 +116,15 @@ def _frequencies(rows: DataFrame) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, likeness: float) -> DataFrame:
-    """(_node, _size, _token, _place): of each set as many of its rarest signatures as sets so alike can't all miss."""
-    often = keep(_frequencies(rows), "spot-frequencies")
-    rare = F.array_sort(F.expr(f"transform(_sigs, s -> named_struct('c', element_at(_often, cast(pmod(s, {COUNTERS}) AS int) + 1), 's', s))"))
+    """(_node, _size, _token, _place): of each set as many of its rarest signatures as sets so alike can't all miss.
+
+    A token is the binary length of a signature's count, then most of its bits, so that tokens are in order of rarity.
+    """
+    token = "shiftleft(cast(element_at(_often, cast(pmod(s, {n}) AS int) + 1) AS bigint), 57) | shiftrightunsigned(s, 7)"
+    rare = F.sort_array(F.expr(f"transform(_sigs, s -> {token.format(n=COUNTERS)})"))
     take = F.col("_size") - F.ceil(F.col("_size") * likeness - 1e-9).cast("int") + 1
-    placed = rows.crossJoin(F.broadcast(often)).withColumn("_size", F.size("_sigs"))  # one row, its size fixed by COUNTERS
-    return placed.select("_node", "_size", F.posexplode(F.slice(rare, F.lit(1), take)).alias("_place", "x")).select("_node", "_size", F.col("x.s").alias("_token"), "_place")
+    placed = rows.crossJoin(F.broadcast(_frequencies(rows))).withColumn("_size", F.size("_sigs"))  # one row, its size fixed by COUNTERS
+    return placed.select("_node", "_size", F.posexplode(F.slice(rare, F.lit(1), take)).alias("_place", "_token"))
 
 
 def _scored(pairs: DataFrame, rows: DataFrame, at_least: float) -> DataFrame:
@@ -140,8 +136,8 @@ def _scored(pairs: DataFrame, rows: DataFrame, at_least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", jaccard(F.col("s1"), F.col("s2"), at_least).alias("j"))
 
 
-def alike_links(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
-    """(a, b): links between the nodes of (_node, _sigs) that reach whatever links between all alike sets reach."""
+def alike_components(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
+    """(node, root): the smallest node that links between alike sets reach, for the nodes of (_node, _sigs) with links."""
     prefixes = keep(_prefixes(rows, likeness), "spot-prefixes")
     shared = prefixes.groupBy("_token").agg(F.min("_node").alias("lo"), F.max("_node").alias("hi")).where("lo <> hi").select("_token")
     shared = keep(shared, "spot-shared")
@@ -167,8 +163,11 @@ def alike_links(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
     # 1 - likeness is a metric
     distances = F.abs(F.col("j1") - F.col("j2")) <= 1 - likeness + 1e-9
     pairs = one.join(two, where).where((F.col("_root1") != F.col("_root2")) & sizes & places & distances).select(F.col("_node1").alias("a"), F.col("_node2").alias("b")).distinct()
-    more = _scored(keep(pairs, "spot-pairs"), rows, likeness).where(F.col("j") >= likeness - 1e-9).select("a", "b")
-    return links.unionByName(more)
+    pairs = keep(pairs, "spot-pairs")
+    if pairs.isEmpty():
+        return roots.withColumnsRenamed({"_node": "node", "_root": "root"})
+    more = _scored(pairs, rows, likeness).where(F.col("j") >= likeness - 1e-9).select("a", "b")
+    return components(links.unionByName(more))
 
 
 def near_classes(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
@@ -180,7 +179,7 @@ def near_classes(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
     rows = rows.withColumn("_node", F.xxhash64("fingerprint"))
     least = keep(rows.groupBy("fingerprint", "_node").agg(F.min("_id").alias("_least")), "spot-least")
     sets = rows.select("_node", F.col("signatures").alias("_sigs"))
-    named = component_ids(least.select("_node", "_least"), components(alike_links(sets, likeness)))
+    named = component_ids(least.select("_node", "_least"), alike_components(sets, likeness))
     return least.select("fingerprint", "_node").join(named, "_node").select("fingerprint", F.col("component_id").alias("near_class"))
 
 
