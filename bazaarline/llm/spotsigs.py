@@ -79,9 +79,9 @@ def with_signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANC
     as Spark would compute it twice.
     """
     anchor = f"(?:{_trie(sorted(set(anchors)))})"
-    first = rf"(?<![^ ])(?=({anchor} (?!{anchor} |\{_END})[^ ]++(?: (?:{anchor} )*+[^ ]++){{0,{chain - 1}}}+)){anchor} "
+    first = rf" (?=({anchor} (?!{anchor} |\{_END})[^ ]++(?: (?:{anchor} )*+[^ ]++){{0,{chain - 1}}}+))"
     df = df.withColumn("_norm", normalised(F.col(text)))
-    df = df.withColumn("_chains", F.array_join(F.regexp_extract_all(F.concat("_norm", F.lit(f" {_END}")), F.lit(first), F.lit(1)), "|"))
+    df = df.withColumn("_chains", F.array_join(F.regexp_extract_all(F.concat(F.lit(" "), "_norm", F.lit(f" {_END}")), F.lit(first), F.lit(1)), "|"))
     bare = F.regexp_replace("_chains", f" {anchor}(?= )", "")  # all but the first word are content words once the anchors among them are gone
     hashes = F.array_distinct(F.transform(F.split(bare, r"\|"), lambda s: F.xxhash64(s)))
     return df.withColumn(out, F.when(F.col("_chains") == "", F.array(F.xxhash64("_norm"))).otherwise(hashes)).drop("_norm", "_chains")
