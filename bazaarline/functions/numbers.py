@@ -52,16 +52,18 @@ def median_mid(x: Column) -> Column:
     return F.median(x)
 
 
-def median_upper(x: Column) -> Column:
-    """Aggregate, median B: the upper middle value."""
-    values = F.array_sort(F.collect_list(x))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def at_quantile(x: str, q: float) -> Column:
+    """Aggregate: the value of column ``x`` at ``floor(n * q)`` of the sorted ones, counted from 0.
 
+    Counted from above that is place ``ceil(n * (1 - q))``, which the built-in gives.
+    It holds each different value of a group once, with its count, pre-aggregated.
+    """
+    return F.expr(f"percentile_disc({1 - q}) WITHIN GROUP (ORDER BY {x} DESC)")
 
-def at_quantile(x: Column, q: float) -> Column:
-    """Aggregate: the value at ``floor(n * q)`` of the sorted ones, counted from 0."""
-    values = F.array_sort(F.collect_list(x))
-    return F.try_element_at(values, (F.floor(F.size(values) * q) + 1).cast("int"))
+
+def median_upper(x: str) -> Column:
+    """Aggregate, median B: the upper middle value of column ``x``."""
+    return at_quantile(x, 0.5)
 
 
 def variation(x: Column) -> Column:

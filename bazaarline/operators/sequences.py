@@ -8,29 +8,57 @@ from pyspark.sql import functions as F
 from ..functions.numbers import js_round, ladder
 
 
+def days_before(df: DataFrame, key: str, ts: str, order: list[str]) -> DataFrame:
+    """Adds ``days`` since the row of the key before; null for its first."""
+    before = F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(Window.partitionBy(key).orderBy(ts, *order))
+    return df.withColumn("days", (F.unix_micros(F.col(ts).cast("timestamp")) - before) / 86_400_000_000.0)
+
+
 def intervals(df: DataFrame, key: str, ts: str, order: list[str], positive_only: bool = False) -> DataFrame:
     """Days between consecutive rows of a key; optionally only those above zero."""
-    before = F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(Window.partitionBy(key).orderBy(ts, *order))
-    days = (F.unix_micros(F.col(ts).cast("timestamp")) - before) / 86_400_000_000.0
-    out = df.withColumn("days", days).where(F.col("days").isNotNull())
+    out = days_before(df, key, ts, order).where(F.col("days").isNotNull())
     return out.where("days > 0") if positive_only else out.where("days >= 0")
 
 
-def sorted_values(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """(key, xs): the values of each key as one array in order; a key's own rows only."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_x"))))
-    return df.groupBy(key).agg(F.transform(packed, lambda s: s["_x"]).alias("xs"))
+def on_every_day(df: DataFrame, key: str, day: str) -> DataFrame:
+    """(key, day): each key on each day of any row. The days are one row, of at most 36,525 in a century."""
+    days = df.agg(F.collect_set(day).alias("_days"))
+    return df.select(key).distinct().crossJoin(F.broadcast(days)).select(key, F.explode("_days").alias(day))
+
+
+def ends(df: DataFrame, key: str, value: str, order: list[str], last: int = 6, first: int = 3) -> DataFrame:
+    """(key, n, last, first): how many rows a key has, and its last and first few values in order.
+
+    Spark prunes to the last and first rows before the shuffle.
+    """
+    rows = df.select(key, *order, F.col(value).alias("_x"))
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+    def some(k: int, out: str, downwards: bool) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(*[F.col(c).desc() if downwards else F.col(c).asc() for c in order])
+        few = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
+        return few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_x"))), lambda s: s["_x"]).alias(out))
+
+    out = n.join(some(last, "last", True), key)
+    return out.join(some(first, "first", False), key) if first else out
+
+
+def half_means(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """(key, n, old, new): means of the earlier and the later half of each key's values, the later one the longer."""
+    w = Window.partitionBy(key)
+    placed = df.select(key, F.col(value).alias("_x"), F.row_number().over(w.orderBy(*order)).alias("_k"), F.count(F.lit(1)).over(w).alias("_n"))
+    early = F.col("_k") <= F.floor(F.col("_n") / 2)
+    return placed.groupBy(key).agg(F.first("_n").alias("n"), F.avg(F.when(early, F.col("_x"))).alias("old"), F.avg(F.when(~early, F.col("_x"))).alias("new"))
 
 
 def mean_of(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
 
 
-def trend(xs: Column, least: int, band: float, previous: Column | None = None) -> tuple[Column, Column]:
-    """(label, change): the mean of the last three against ``previous``, else the three before or the remaining prefix."""
-    n = F.size(xs)
+def trend(xs: Column, n: Column, least: int, band: float, previous: Column | None = None) -> tuple[Column, Column]:
+    """(label, change) of the last six of ``n`` values at most: the mean of the last three against ``previous``, else those before."""
     last = F.slice(xs, -3, 3)
-    head = previous if previous is not None else F.when(n >= 6, F.slice(xs, n - 5, F.lit(3))).otherwise(F.slice(xs, F.lit(1), n - 3))
+    head = previous if previous is not None else F.slice(xs, F.lit(1), F.size(xs) - 3)
     change = F.when(F.size(head) > 0, (mean_of(last) - mean_of(head)) / F.nullif(mean_of(head), F.lit(0.0)))
     label = F.when(n < least, "unknown").when(change > band, "rising").when(change < -band, "falling").otherwise("stable")
     return label, F.when(n >= least, change)

@@ -30,7 +30,7 @@ def quartiles(df: DataFrame, key: str, price: str, least: int = 5) -> DataFrame:
     x = F.col(price)
     return (
         df.groupBy(key)
-        .agg(F.count(x).alias("n"), at_quantile(x, 0.25).alias("q1"), at_quantile(x, 0.75).alias("q3"), js_round(mean_cents(x), 2).alias("mean"), js_round(median_mid(x), 2).alias("median"), F.min(x).alias("low"), F.max(x).alias("high"))
+        .agg(F.count(x).alias("n"), at_quantile(price, 0.25).alias("q1"), at_quantile(price, 0.75).alias("q3"), js_round(mean_cents(x), 2).alias("mean"), js_round(median_mid(x), 2).alias("median"), F.min(x).alias("low"), F.max(x).alias("high"))
         .where(F.col("n") >= least)
     )
 
@@ -65,5 +65,5 @@ def medians_by(df: DataFrame, key: str, price: str) -> DataFrame:
     """All definitions of the middle side by side; the conservative price is the lesser of median and mean."""
     x = F.col(price)
     return df.groupBy(key).agg(
-        js_round(median_mid(x), 2).alias("median_mid"), median_upper(x).alias("median_upper"), js_round(F.least(median_mid(x), mean_cents(x)), 2).alias("conservative")
+        js_round(median_mid(x), 2).alias("median_mid"), median_upper(price).alias("median_upper"), js_round(F.least(median_mid(x), mean_cents(x)), 2).alias("conservative")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cents, js_round, mean_cents, median_mid, median_upper, share, variation
 from ..operators import stats
+from ..operators.sequences import on_every_day
 from .base import AS_OF, EVENTS_AS_OF, c, query, r2, table, when_ts
 
 MEAN = f"CAST(sum({c('l_extendedprice')}) AS DOUBLE) / count(*) / 100"
@@ -30,7 +31,7 @@ def _(spark, d):
 
 @query("ag_04_median_upper", "SELECT l_partkey, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS median_price FROM lineitem GROUP BY l_partkey")
 def _(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(median_upper(F.col("l_extendedprice")).alias("median_price"))
+    return table(spark, d, "lineitem").groupBy("l_partkey").agg(median_upper("l_extendedprice").alias("median_price"))
 
 
 @query(
@@ -224,8 +225,7 @@ def _(spark, d):
 def _(spark, d):
     events = table(spark, d, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("niche"), "value")
     counts = events.groupBy("day", "niche").agg(F.count_if(F.col("value") > 400).alias("n"))
-    # days by kinds of event: both are small dimensions
-    grid = events.select("day").distinct().crossJoin(events.select("niche").distinct())
+    grid = on_every_day(events, "niche", "day")
     filled = grid.join(counts, ["day", "niche"], "left").fillna(0, ["n"])
     return filled.groupBy("niche").agg(F.count(F.lit(1)).alias("scans"), F.count_if(F.col("n") > 0).alias("success"), F.count_if(F.col("n") == 0).alias("zero"), F.sum("n").alias("total"), F.max_by("n", "day").alias("last_count"))
 

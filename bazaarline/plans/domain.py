@@ -147,7 +147,7 @@ def _(spark, d):
     from ..functions.numbers import median_upper
 
     li = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
-    groups = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), median_upper(F.col("l_extendedprice")).alias("median_price")).where("n >= 3")
+    groups = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), median_upper("l_extendedprice").alias("median_price")).where("n >= 3")
     discount = 1 - F.col("l_extendedprice") / F.col("median_price")
     found = li.join(groups, "l_partkey").where(discount >= 0.5)
     return found.select("l_orderkey", "l_linenumber", "n", "median_price", js_round(discount, 2).alias("discount")).orderBy(F.col("discount").desc(), "l_orderkey", "l_linenumber")
@@ -228,7 +228,7 @@ def _(spark, d):
 def _(spark, d):
     from ..functions.numbers import median_upper
 
-    m = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"), median_upper(F.col("l_extendedprice")).alias("med")).where("n >= 3")
+    m = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"), median_upper("l_extendedprice").alias("med")).where("n >= 3")
     rows = table(spark, d, "part").join(m, "p_partkey")
     most, ask = 0.95 * F.col("med") - 4 - 5, F.col("p_retailprice") * 20
     profit = 0.95 * F.col("med") - 4 - ask

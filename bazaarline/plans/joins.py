@@ -7,24 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round
 from ..functions.text import slug_tokens
-from ..operators import dedup, matching, peers
+from ..operators import matching, peers
 from .base import query, r2, table
 from .domain import _TITLE, _titles
 
 
 
-@query(
-    "jn_01_blocked_pairs",
-    f"""WITH t AS (SELECT p_partkey, p_brand, {_TITLE} AS title FROM part WHERE p_size % 3 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 13 <> 0),
-        k AS (SELECT p_partkey, unnest(list_distinct(list_filter(string_split(regexp_extract(title, '^[^0-9#/]*'), ' '), lambda x: regexp_matches(x, '^[a-z][a-z-]{{3,}}$')
-          AND NOT list_contains(['red', 'blue', 'green', 'black', 'white', 'gold', 'silver', 'pink', 'orange', 'yellow', 'purple', 'small'], x)))) AS token FROM t)
-        SELECT token, count(*) AS items FROM k GROUP BY 1 HAVING token <> 'small'""",
-)
+@query("jn_01_blocked_pairs")
 def _(spark, d):
-    """The blocks that listings and sales meet in: items by identity token."""
-    plain = _titles(spark, d).join(table(spark, d, "part").where("p_size % 3 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 13 <> 0").select("p_partkey"), "p_partkey", "left_semi")
-    blocks = matching.signed_sales(plain).select("p_partkey", F.explode("r.identity").alias("token"))
-    return blocks.where("token <> 'small'").groupBy("token").agg(F.count(F.lit(1)).alias("items"))
+    """Sales that each listing could match, over all titles and tokens: what the blocks of tokens and card numbers bring together."""
+    titles = _titles(spark, d)
+    listings, sales = matching.signed_listings(titles), matching.signed_sales(titles.withColumnRenamed("p_partkey", "sale"))
+    pairs = matching.blocked_pairs(listings, sales, "p_partkey", "sale")
+    return pairs.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("sales"))
 
 
 @query("jn_02_group_comparables", f"SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey) AS n, {r2('l_extendedprice - min(l_extendedprice) OVER (PARTITION BY l_partkey)')} AS above_least FROM lineitem")
@@ -35,19 +30,18 @@ def _(spark, d):
 
 @query(
     "jn_05_catalogue_best",
-    """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49), c AS (SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size >= 48),
-       m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_partkey, len(list_intersect(string_split(name, ' '), string_split(p_name, ' '))) AS shared, p_retailprice FROM q JOIN c ON len(list_intersect(string_split(name, ' '), string_split(p_name, ' '))) > 0)
-       SELECT l_orderkey, l_linenumber, p_partkey, shared FROM m QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY shared DESC, p_retailprice, p_partkey) = 1""",
+    """WITH c AS (SELECT p_name, arg_min(p_partkey, (p_retailprice, p_partkey)) AS p_partkey, min(p_retailprice) AS price FROM part GROUP BY p_name),
+       m AS (SELECT n.p_name AS name, c.p_partkey, price, len(list_intersect(string_split(n.p_name, ' '), string_split(c.p_name, ' '))) AS shared FROM (SELECT DISTINCT p_name FROM part) n CROSS JOIN c),
+       best AS (SELECT * FROM m WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY shared DESC, price, p_partkey) = 1)
+       SELECT l_orderkey, l_linenumber, best.p_partkey, shared FROM lineitem JOIN part p ON l_partkey = p.p_partkey JOIN best ON best.name = p.p_name""",
 )
 def _(spark, d):
+    """Each sale against the whole catalogue: the entry that shares most words with its name, then the cheapest."""
     part = table(spark, d, "part")
-    asked = table(spark, d, "lineitem").where("l_quantity >= 49").join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.split("p_name", " ").alias("a"))
-    # catalogue entries are told apart by name first: equal names meet an item once
-    cheapest = dedup.first_per(part.where("p_size >= 48"), ["p_name"], ["p_retailprice", "p_partkey"]).select("p_partkey", "p_retailprice", F.split("p_name", " ").alias("b"))
-    names = asked.select("a").distinct()
-    pairs = names.select("a", F.explode("a").alias("t")).join(cheapest.select("*", F.explode("b").alias("t")), "t").drop("t").distinct()
-    best = dedup.first_per(pairs.withColumn("shared", F.size(F.array_intersect("a", "b"))), [F.array_join("a", " ")], [F.col("shared").desc(), "p_retailprice", "p_partkey"])
-    return asked.join(best.select("a", "p_partkey", "shared"), "a").select("l_orderkey", "l_linenumber", "p_partkey", F.col("shared").cast("long").alias("shared"))
+    asked = table(spark, d, "lineitem").join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name")
+    names = part.select("p_name").distinct()
+    best = matching.most_shared(names.withColumn("words", F.split("p_name", " ")), part.withColumn("words", F.split("p_name", " ")), "p_name", "words", F.struct("p_retailprice", "p_partkey"))
+    return asked.join(best, "p_name").select("l_orderkey", "l_linenumber", F.col("best.p_partkey").alias("p_partkey"), F.col("shared").cast("long").alias("shared"))
 
 
 @query(

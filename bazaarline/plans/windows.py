@@ -17,8 +17,8 @@ def _mean(xs: str) -> str:
     return f"CASE WHEN len({xs}) > 0 THEN list_reduce(list_prepend(CAST(0 AS DOUBLE), {xs}), lambda a, b: a + b) / len({xs}) END"
 
 
-def _sales(spark, d):
-    return seq.sorted_values(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", SALES)
+def _sales(spark, d, first=0):
+    return seq.ends(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", SALES, first=first).where("n >= 3")
 
 
 @query(
@@ -39,10 +39,11 @@ def _(spark, d):
         SELECT l_partkey, CASE WHEN n < 3 THEN 'unknown' WHEN cv > 0.3 THEN 'volatile' WHEN ch > 0.1 THEN 'rising' WHEN ch < -0.1 THEN 'falling' ELSE 'stable' END AS trend FROM t""",
 )
 def _(spark, d):
-    label, _ = seq.trend(F.col("xs"), 3, 0.10)
+    label, _ = seq.trend(F.col("last"), F.col("n"), 3, 0.10)
     cv = table(spark, d, "lineitem").groupBy("l_partkey").agg(variation(F.col("l_extendedprice")).alias("_cv"))
-    rows = _sales(spark, d).withColumn("_label", label).join(cv, "l_partkey")
-    return rows.select("l_partkey", F.when((F.size("xs") >= 3) & (F.col("_cv") > 0.30), "volatile").otherwise(F.col("_label")).alias("trend"))
+    rows = cv.join(_sales(spark, d), "l_partkey", "left")
+    known = F.when(F.col("_cv") > 0.30, "volatile").otherwise(label)
+    return rows.select("l_partkey", F.when(F.col("n").isNull(), "unknown").otherwise(known).alias("trend"))
 
 
 @query(
@@ -51,8 +52,9 @@ def _(spark, d):
         SELECT l_partkey, coalesce(floor(least(1.0, abs(CASE WHEN n >= 3 AND len(prev) > 0 THEN ({_mean('last')} - {_mean('prev')}) / nullif({_mean('prev')}, 0) END) / 0.5) * 100 + 0.5) / 100, 0) AS strength FROM h""",
 )
 def _(spark, d):
-    _, change = seq.trend(F.col("xs"), 3, 0.10)
-    return _sales(spark, d).select("l_partkey", F.coalesce(js_round(F.least(F.lit(1.0), F.abs(change) / 0.5), 2), F.lit(0.0)).alias("strength"))
+    _, change = seq.trend(F.col("last"), F.col("n"), 3, 0.10)
+    keys = table(spark, d, "lineitem").select("l_partkey").distinct()
+    return keys.join(_sales(spark, d), "l_partkey", "left").select("l_partkey", F.coalesce(js_round(F.least(F.lit(1.0), F.abs(change) / 0.5), 2), F.lit(0.0)).alias("strength"))
 
 
 @query(
@@ -62,8 +64,8 @@ def _(spark, d):
         SELECT l_partkey, n, CASE WHEN ch > 0.15 THEN 'rising' WHEN ch < -0.15 THEN 'falling' ELSE 'stable' END AS trend, CAST(floor(ch * 100 + 0.5) AS BIGINT) AS percent FROM t""",
 )
 def _(spark, d):
-    label, change = seq.trend(F.col("xs"), 5, 0.15, F.slice("xs", 1, 3))
-    return _sales(spark, d).where(F.size("xs") >= 5).select("l_partkey", F.size("xs").cast("long").alias("n"), label.alias("trend"), seq.rounded_percent(change).alias("percent"))
+    label, change = seq.trend(F.col("last"), F.col("n"), 5, 0.15, F.col("first"))
+    return _sales(spark, d, 3).where("n >= 5").select("l_partkey", "n", label.alias("trend"), seq.rounded_percent(change).alias("percent"))
 
 
 @query(
@@ -73,10 +75,9 @@ def _(spark, d):
         SELECT l_partkey, CASE WHEN ch > 0.05 THEN 'rising' WHEN ch < -0.05 THEN 'falling' ELSE 'stable' END AS trend FROM t""",
 )
 def _(spark, d):
-    half = F.floor(F.size("xs") / 2).cast("int")
-    old, new = F.slice("xs", F.lit(1), half), F.slice("xs", half + 1, F.size("xs"))
-    change = (seq.mean_of(new) - seq.mean_of(old)) / F.nullif(seq.mean_of(old), F.lit(0.0))
-    return _sales(spark, d).where(F.size("xs") >= 2).select("l_partkey", F.when(change > 0.05, "rising").when(change < -0.05, "falling").otherwise("stable").alias("trend"))
+    halves = seq.half_means(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", SALES)
+    change = (F.col("new") - F.col("old")) / F.nullif("old", F.lit(0.0))
+    return halves.where("n >= 2").select("l_partkey", F.when(change > 0.05, "rising").when(change < -0.05, "falling").otherwise("stable").alias("trend"))
 
 
 @query(
@@ -100,8 +101,7 @@ _DAYS = """WITH s AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), t AS
 def _(spark, d):
     events = table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_type", "value")
     counts = events.groupBy("day", "event_type").agg(F.count_if(F.col("value") > 470).alias("n"))
-    # days by kinds of event: both are small dimensions
-    grid = events.select("day").distinct().crossJoin(events.select("event_type").distinct()).join(counts, ["day", "event_type"], "left").fillna(0, ["n"])
+    grid = seq.on_every_day(events, "event_type", "day").join(counts, ["day", "event_type"], "left").fillna(0, ["n"])
     return seq.zero_streak(grid, "event_type", ["day"], F.col("n") == 0)
 
 

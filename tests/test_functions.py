@@ -42,7 +42,7 @@ def test_ascii_word_border(spark):
 def test_medians(spark):
     for values, mid, upper in (([1.0], 1.0, 1.0), ([1.0, 2.0], 1.5, 2.0), ([3.0, 1.0, 2.0], 2.0, 2.0), ([4.0, 1.0, 2.0, 3.0], 2.5, 3.0)):
         df = spark.createDataFrame([(v,) for v in values], "x double")
-        assert tuple(df.agg(numbers.median_mid(F.col("x")), numbers.median_upper(F.col("x"))).first()) == (mid, upper)
+        assert tuple(df.agg(numbers.median_mid(F.col("x")), numbers.median_upper("x")).first()) == (mid, upper)
 
 
 @pytest.mark.parametrize("n, step", [(0, 0), (1, 15), (2, 15), (3, 30), (5, 30), (6, 60), (10, 60), (11, 80), (20, 80), (21, 100)])
@@ -126,3 +126,25 @@ def test_min_price_is_pushed_down(spark, tmp_path):
 def test_jaccard(spark):
     assert one(spark, text.jaccard(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b")))) == (0.5,)
     assert one(spark, text.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))) == (0.0,)
+
+
+def test_snapshots_of_both_layouts(spark, tmp_path):
+    from bazaarline.sources import logs
+
+    (tmp_path / "rows.json").write_text('[{"id": 1, "name": "a"}, {"id": 2, "name": null}]')
+    (tmp_path / "items.json").write_text('{"items": [{"id": 3, "name": "c"}, {"id": 4}]}')
+    read = lambda path, **how: sorted((r.id, r.name) for r in logs.read_snapshot(spark, str(path), "id long, name string", **how).collect())
+    assert read(tmp_path / "rows.json") == [(1, "a"), (2, None)] and read(tmp_path / "items.json") == [(3, "c"), (4, None)]
+    assert read(tmp_path / "none.json") == []
+    assert read(tmp_path / "none.json", default=spark.createDataFrame([(9, "z")], "id long, name string")) == [(9, "z")]
+    for rows in ([(4, "d")], [(5, "e"), (6, "f")]):
+        logs.write_snapshot(spark.createDataFrame(rows, "id long, name string").coalesce(1), str(tmp_path / "new"))
+    assert sorted(map(tuple, logs.read_log(spark, str(tmp_path / "new"), "id long, name string").collect())) == rows
+
+
+def test_upper_median_and_quantiles(spark):
+    from bazaarline.functions.numbers import at_quantile, median_upper
+
+    rows = [(n, float(x)) for n in range(1, 12) for x in range(n)] + [(1, None), (99, None)]
+    got = spark.createDataFrame(rows, "k int, x double").groupBy("k").agg(median_upper("x").alias("m"), at_quantile("x", 0.25).alias("q"), at_quantile("x", 0.75).alias("p")).collect()
+    assert {r.k: (r.m, r.q, r.p) for r in got} == {n: (float(n // 2), float(int(n * 0.25)), float(int(n * 0.75))) for n in range(1, 12)} | {99: (None, None, None)}
