@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaarline.llm import bpe_chunks, exact_dedup, mixing, quality, simhash
 from bazaarline.llm.queries import BYTE_BPE, with_digests
-from bazaarline.llm.storage import keep
+from bazaarline.llm.storage import drop, finished, work_tables
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of alike texts the document with the smallest id stays.
 
-    Shingles of five words and a likeness of 0.8 or more, by fingerprints of 512
-    bits; three bits of 64 would find texts far more alike than that only.
+    Shingles of five words and a likeness of 0.8 or more: fingerprints of several
+    words find candidates, whose whole sets of shingles are compared.
     """
     return simhash.drop_alike(docs)
 
@@ -57,10 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = keep(docs, f"pipeline-{k}")
-    return docs
+    """All stages applied to the documents of ``sf_dir``. A stage's work tables go once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with work_tables() as made:
+            docs = finished(stage(spark, docs, sf_dir), f"pipeline-{k}", made)
+        if before:
+            drop(spark, before)
+        before = made[-1]
+    return STAGES[-1][1](spark, docs, sf_dir)
