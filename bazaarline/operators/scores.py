@@ -111,11 +111,10 @@ def confidence(text: Column, source: Column, vision: Column, verdict: Column, co
     v = F.when(worn, F.floor(vision / 2)).otherwise(vision)
     s = F.when(worn & used, F.greatest(F.lit(0), source - 10)).otherwise(source)
     total = F.greatest(F.lit(0), F.least(F.lit(100), text + s + v) + F.coalesce(penalty, F.lit(0)))
-    total = F.when(F.coalesce(seller < 20, F.lit(False)), F.least(total, F.lit(40))).otherwise(total)
-    total = F.when((n < 2) & ~niche, F.least(total, F.lit(45))).otherwise(total)
     strong = F.coalesce(verdict == "true", F.lit(False)) | ((text >= 30) & (s >= 15) & (v >= 15))
-    total = F.when(~strong, F.least(total, F.lit(59))).otherwise(total)
-    return F.when(F.coalesce(verdict == "false", F.lit(False)), 0).otherwise(total).cast("long")
+    # a cap that doesn't hold is null, which least passes over; so the total is named once and not once a cap
+    caps = [F.when(seller < 20, 40), F.when((n < 2) & ~niche, 45), F.when(~strong, 59)]
+    return F.when(F.coalesce(verdict == "false", F.lit(False)), 0).otherwise(F.least(total, *caps)).cast("long")
 
 
 def vision_verdict(product: Column, variant: Column, condition: Column, given: Column) -> tuple[Column, Column]:
