@@ -27,8 +27,7 @@ def normalize_spaces(x: Column) -> Column:
 
 def slug_tokens(x: Column) -> Column:
     """Lower-case tokens of letters, digits, ``/``, ``#`` and ``-``."""
-    plain = F.regexp_replace(strip_accents(F.lower(F.coalesce(x, F.lit("")))), r"[^a-z0-9\s/#-]", " ")
-    return F.filter(F.split(plain, r"\s+"), lambda t: t != "")
+    return F.regexp_extract_all(strip_accents(F.lower(F.coalesce(x, F.lit("")))), F.lit("[a-z0-9/#-]+"), F.lit(0))
 
 
 def comparable_token(t: Column) -> Column:
