@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import js_round
 from ..operators import dedup
 from ..sources import logs, pages
-from .base import EVENTS_AS_OF, query, r2, table, when_ts
+from .base import EVENTS_AS_OF, query, r2, scratch, table, when_ts
 
 
 @query(
@@ -95,7 +95,19 @@ def _(spark, d):
     return log.orderBy(F.col("conv_id").desc(), F.col("turn").desc()).limit(100).select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 
-@query("sc_13_cache_purge", f"SELECT event_id FROM events e JOIN (VALUES ('click', 2), ('view', 5), ('error', 1)) t(event_type, days) USING (event_type) WHERE ts < TIMESTAMP '{EVENTS_AS_OF}' - to_days(days)")
+@query("sc_11_snapshots", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def _(spark, d):
+    """A snapshot file for each region's nations, in both layouts by turns; that of the regions is missing, so its default counts."""
+    schema, path = "id long, name string", scratch(spark, "snapshots")
+    rows = F.to_json(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))))
+    files = table(spark, d, "nation").groupBy("n_regionkey").agg(rows.alias("rows"))  # a region has a few nations
+    wrapped = F.when(F.col("n_regionkey") % 2 == 1, F.concat(F.lit('{"items":'), "rows", F.lit("}"))).otherwise(F.col("rows"))
+    files.select("n_regionkey", wrapped.alias("value")).write.partitionBy("n_regionkey").text(path)
+    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))
+    return logs.read_snapshot(spark, path, schema).unionByName(logs.read_snapshot(spark, f"{path}-regions", schema, regions))
+
+
+@query("sc_13_cache_purge",f"SELECT event_id FROM events e JOIN (VALUES ('click', 2), ('view', 5), ('error', 1)) t(event_type, days) USING (event_type) WHERE ts < TIMESTAMP '{EVENTS_AS_OF}' - to_days(days)")
 def _(spark, d):
     ttl = spark.createDataFrame([("click", 2), ("view", 5), ("error", 1)], "event_type string, days int")
     age = (F.unix_micros(F.lit(EVENTS_AS_OF).cast("timestamp")) - F.unix_micros(when_ts("ts"))) / 86_400_000_000

@@ -23,14 +23,14 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str, default: DataFrame | None = None) -> DataFrame:
-    """The rows of whole-document snapshots: each file an array of rows, one row, or an object that holds rows under ``items``.
+    """The rows of whole-document snapshots: each file below ``path`` an array of rows, one row, or an object that holds rows under ``items``.
 
     A missing path gives ``default``, no rows if there is none.
     """
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema) if default is None else default
-    rows = spark.read.schema(f"{schema}, items array<struct<{schema}>>").option("multiLine", True).json(path)
+    rows = spark.read.schema(f"{schema}, items array<struct<{schema}>>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
     plain = rows.where("items IS NULL").drop("items")
     return plain.unionByName(rows.where("items IS NOT NULL").select(F.inline("items")))
 
