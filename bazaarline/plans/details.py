@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cents, clamp, js_round, ladder
 from ..functions.text import word
-from ..operators import matching, scores, signature
+from ..operators import scores, signature
 from ..operators import sequences as seq
 from ..sources import pages
 from .base import QUERIES, c, query, r2, table
-from .domain import _titles
 
 
 @query(
@@ -125,17 +124,6 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(pages.embedded_json(page), "$.props.page.k").cast("long").alias("k"))
 
 
-@query("dm_02_pair_scores")
-def _(spark, d):
-    """Each product's title against those of all sold products that share a needed token; golden pairs are in the tests."""
-    titles = _titles(spark, d).select("p_partkey", "title")
-    sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    sales = titles.join(sold, "p_partkey", "left_semi").withColumnRenamed("p_partkey", "sale")
-    left, right = matching.signed_listings(titles.withColumnRenamed("p_partkey", "listing")).drop("title"), matching.signed_sales(sales).drop("title")
-    scored = matching.with_match(matching.candidate_pairs(left, right, "listing", "sale", by_number=False))
-    return scored.select("listing", "sale", "m.score", "m.missing_critical", "m.lot_mismatch", "m.variant_mismatch", F.size("m.shared").alias("shared"))
-
-
 @query(
     "dm_21_suggestions",
     f"""WITH g AS (SELECT p_type AS category, count(*) AS n, CAST(sum({c('p_retailprice')}) AS DOUBLE) / count(*) / 100 AS price FROM part GROUP BY 1)

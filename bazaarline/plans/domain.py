@@ -348,14 +348,6 @@ def _(spark, d):
     return signature.with_signature(_titles(spark, d), "title").select("p_partkey", *[F.col(f"sig.{x}").alias(x) for x in ("year", "print_run", "autograph", "graded", "is_lot", "card_category")])
 
 
-@query("dm_03_best_sales")
-def _(spark, d):
-    """Sales of each product among the titles of the others that are sold; SQL has no counterpart that isn't the same work again."""
-    titles = _titles(spark, d)
-    sales = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max(F.unix_millis(when_ts("l_shipdate"))).alias("sold_at")).join(titles, "p_partkey").select(F.col("p_partkey").alias("sale"), "title", "sold_at")
-    return matching.best_sales(titles.withColumnRenamed("p_partkey", "listing"), sales, "listing", "sale", "sold_at").select("listing", "sale", "place", "score", "how")
-
-
 @query("dm_30_specificity")
 def _(spark, d):
     return signature.with_signature(_titles(spark, d), "title").select("p_partkey", signature.specificity("sig").alias("specificity"))

@@ -9,17 +9,6 @@ from ..functions.numbers import js_round
 from ..functions.text import slug_tokens
 from ..operators import matching, peers
 from .base import query, r2, table
-from .domain import _TITLE, _titles
-
-
-
-@query("jn_01_blocked_pairs")
-def _(spark, d):
-    """Sales that each listing could match, over all titles and tokens: what the blocks of tokens and card numbers bring together."""
-    titles = _titles(spark, d)
-    listings, sales = matching.signed_listings(titles), matching.signed_sales(titles.withColumnRenamed("p_partkey", "sale"))
-    pairs = matching.blocked_pairs(listings, sales, "p_partkey", "sale")
-    return pairs.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("sales"))
 
 
 @query("jn_02_group_comparables", f"SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey) AS n, {r2('l_extendedprice - min(l_extendedprice) OVER (PARTITION BY l_partkey)')} AS above_least FROM lineitem")

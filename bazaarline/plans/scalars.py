@@ -40,12 +40,6 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", text.comparable_token(raw).alias("token"))
 
 
-@query("fs_09_rejections", "SELECT p_partkey, list_filter([CASE WHEN p_size < 10 THEN 'too small' END, CASE WHEN p_retailprice > 1500 THEN 'too dear' END, CASE WHEN p_type LIKE '%BRASS%' THEN 'wrong kind' END], lambda x: x IS NOT NULL) AS reasons FROM part")
-def _(spark, d):
-    reasons = [F.when(F.col("p_size") < 10, "too small"), F.when(F.col("p_retailprice") > 1500, "too dear"), F.when(F.col("p_type").contains("BRASS"), "wrong kind")]
-    return table(spark, d, "part").select("p_partkey", F.array_compact(F.array(*reasons)).alias("reasons"))
-
-
 @query(
     "fs_10_product_key",
     "WITH k AS (SELECT doc_id, substr(regexp_replace(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s/\\-#]', ' ', 'g')), '\\s+', '-', 'g'), 1, 150) AS k FROM documents) SELECT doc_id, CASE WHEN k = '' THEN 'unknown' ELSE k END AS product_key FROM k",

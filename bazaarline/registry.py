@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, base, details, domain, flagship, joins, merges, ordering, predicates, scalars, scans, streams, windows  # noqa: F401  each family registers itself
+from .plans import aggregates, base, details, domain, flagship, joins, market, merges, ordering, predicates, scalars, scans, streams, windows  # noqa: F401  each family registers itself
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
