@@ -26,7 +26,7 @@ _SAFE_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?= )")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: White space characters in a row that tiktoken surely takes; it fails at a million.
 LONG = 100_000
-_LONG_RUN = re.compile(r"\s{%d}" % LONG)
+_LONG_RUN = re.compile(r"(?<!\s)\s{%d}" % LONG)  # looked for where a run begins only, so in linear time
 
 
 def _needs_library(text: str) -> bool:

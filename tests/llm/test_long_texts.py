@@ -44,3 +44,18 @@ def test_chunks_of_long_runs():
     for text in TEXTS:
         cut = bpe_chunks.chunks(text.encode())
         assert cut[0][0] == 0 and cut[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(cut, cut[1:], strict=False))
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " "])
+def test_many_runs_below_the_limit(library, space):
+    """The search for long runs takes linear time, and what it finds changes no id."""
+    import time
+
+    from bazaarline.llm.bpe_kernel import LONG, _needs_library
+
+    text = ("x" + space * (LONG - 1)) * 50 + "end"
+    began = time.time()
+    assert not _needs_library(text) and _needs_library(text + space * LONG)
+    assert time.time() - began < 1
+    few = PROSE + ("x" + space * (LONG - 1)) * 2 + PROSE
+    assert Encoder(BYTE_BPE).encode(few).tolist() == library.encode(few, add_special_tokens=False).ids
