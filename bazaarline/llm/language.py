@@ -3,16 +3,16 @@
 A text is the mean of the embeddings of its hashed letter n-grams (within words,
 with word ends), under a linear softmax over the languages seen in training.
 Embeddings and softmax are trained together by stochastic gradient descent in
-numpy, on a bounded, documented sample: about ``PER_LANGUAGE`` labelled documents
-of each of the ``MAX_LANGUAGES`` most frequent languages (of equally frequent ones
-the first by name), chosen by a hash of id and text. The sample comes to the driver
-as n-gram counts, of ``MAX_GRAMS`` different n-grams in all and the same share for
-each language, so its bytes are bounded whatever the texts. A part of the sample is
-held back to fit the temperature of the probabilities and the rejection threshold.
+numpy, on a bounded, documented sample: ``PER_LANGUAGE`` labelled documents of each
+language, or fewer of each where there are so many languages that they would be more than
+``SAMPLED`` in all, but never fewer than ``LEAST``; chosen by a hash of id and text. The
+sample comes to the driver as n-gram counts, of ``MAX_GRAMS`` different n-grams in
+all and the same share for each language, of which every language has a document at
+least. A part of the sample is held back to fit the temperature of the
+probabilities and the rejection threshold.
 
-Since mean and softmax input are linear, tasks get one small table of n-gram
-bucket by language, whose size depends on ``BUCKETS`` and the number of
-languages only.
+Since mean and softmax input are linear, tasks get one table of n-gram bucket by
+language: 128 KB for each language.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as
 is every text if nothing could be learned; rows with null language are not
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .storage import keep
 
-PER_LANGUAGE = 300
-#: Languages that are learned, and different n-grams of all sampled documents, of 8 bytes each.
-MAX_LANGUAGES, MAX_GRAMS = 512, 1 << 25
+#: Sampled documents of a language and of all languages; the least of a language, however many there are.
+PER_LANGUAGE, SAMPLED, LEAST = 300, 1 << 15, 8
+#: Different n-grams of all sampled documents, of 8 bytes each.
+MAX_GRAMS = 1 << 25
 BUCKETS, DIMENSIONS = 1 << 15, 16
 GRAMS = (2, 3, 4)
 EPOCHS, RATE = 6, 1.0
@@ -151,12 +152,14 @@ def held_out(doc_id: Column) -> Column:
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """From (_id, _text, _lang) rows: count languages, draw the sample, collect its bags."""
     known = rows.where(F.col("_lang").isNotNull())
-    counts = known.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = keep(known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_count")), "language-counts")  # a row for each language
+    languages = counts.count()
+    if not languages:
         return sgd([])
-    rates = F.create_map(*[F.lit(v) for r in counts for v in (r["_lang"], min(1.0, per_language / r["count"]))])
+    each = max(LEAST, min(per_language, SAMPLED // languages))
     place = F.pmod(F.xxhash64(F.lit("language"), F.col("_id"), F.col("_text")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.withColumn("_place", place).where(F.col("_place") < rates[F.col("_lang")])
+    # somewhat more than wanted, of which the first are taken
+    sample = known.withColumn("_place", place).join(counts, "_lang").where(F.col("_place") * F.col("_count") < 2 * each + 16).drop("_count")
 
     def bags(batches):
         for pdf in batches:
@@ -164,8 +167,9 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield pd.DataFrame(some, columns=["_id", "_lang", "_place", "idx", "w"])
 
     drawn = keep(sample.mapInPandas(bags, "_id long, _lang string, _place double, idx array<int>, w array<float>"), "language-bags")
-    upto = F.sum(F.size("idx")).over(Window.partitionBy("_lang").orderBy("_place", "_id").rowsBetween(Window.unboundedPreceding, 0))  # of some hundred rows
-    drawn = drawn.withColumn("_upto", upto).where(F.col("_upto") <= MAX_GRAMS // len(counts)).toPandas()
+    order = Window.partitionBy("_lang").orderBy("_place", "_id")  # of some hundred rows
+    drawn = drawn.withColumn("_upto", F.sum(F.size("idx")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_nth", F.row_number().over(order))
+    drawn = drawn.where((F.col("_nth") == 1) | ((F.col("_nth") <= each) & (F.col("_upto") <= MAX_GRAMS // languages))).toPandas()
     drawn = drawn.sort_values(["_place", "_id"], kind="stable")
     return sgd([(lang, np.asarray(i), np.asarray(w, np.float32)) for lang, i, w in zip(drawn["_lang"], drawn["idx"], drawn["w"], strict=True)])
 

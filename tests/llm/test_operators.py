@@ -232,12 +232,24 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_rare_languages_and_long_texts_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+def test_long_texts_of_the_sample_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_GRAMS", 4000)
     rows = [(k, " ".join((EN, DE)[k % 2][j % 17] for j in range(k, k + 60)), ("en", "de")[k % 2]) for k in range(60)] + [(100, "raro " * 50, "xx")]
-    got = language.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
-    assert {r.lang_pred for r in got} == {"en", "de"}
+    got = {r.doc_id: r for r in language.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k].lang_pred == rows[k][2] for k in range(60)) and {r.lang_pred for r in got.values()} <= {"en", "de", "xx"}
+
+
+def test_no_language_is_dropped(spark, monkeypatch):
+    """600 languages, the last of them with few documents, under a sample that is too small for them."""
+    monkeypatch.setattr(language, "SAMPLED", 3000)
+    letters, rng = "abcdefghijklmnopqrstuvwxyz", random.Random(1)
+    own = {f"l{k:03d}": ["".join(rng.choice(letters) for _ in range(7)) for _ in range(12)] for k in range(600)}
+    rows = [(lang, " ".join(rng.choice(w) for _ in range(40))) for k, (lang, w) in enumerate(own.items()) for _ in range(6 if k > 590 else 12)]
+    rows = [(k, text, lang) for k, (lang, text) in enumerate(rows)]
+    got = language.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    learned = {rows[r.doc_id][2] for r in got if not r.held_out}
+    assert {r.lang_pred for r in got} >= learned and len(learned) > 590
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out and rows[r.doc_id][2] in learned) > 0.9 * sum(r.held_out for r in got)
 
 
 def test_grams_do_not_depend_on_pieces(monkeypatch):
