@@ -70,16 +70,36 @@ _VALID = {
 _WORDS = r"[\p{L}\p{N}]{2,}"
 
 
-def _located(text: str, hits: str, pattern_sql: str, valid: str, kind: int, shift: str = "0") -> str:
+#: Elements that an array or text is put together from at a time.
+BLOCK = 256
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def _running(items: str, step: str) -> str:
+    """SQL: for each of ``items`` (``x``) the number ``acc.at`` before it, then carried on by ``step``; one more for the end.
+
+    A fold copies what it has so far at each step. So it has numbers only, and an array of its own for each block.
+    """
+    block = f"aggregate(slice(h.items, k * {BLOCK} + 1, {BLOCK}), named_struct('at', outer.at, 'out', cast(array() AS array<int>)), (acc, x) -> named_struct('at', {step}, 'out', concat(acc.out, array(acc.at))), acc -> named_struct('at', acc.at, 'outs', concat(outer.outs, array(acc.out))))"
+    blocks = f"aggregate(sequence(0, greatest(0, size(h.items) - 1) div {BLOCK}), named_struct('at', 0, 'outs', cast(array() AS array<array<int>>)), (outer, k) -> {block}, r -> concat(flatten(r.outs), array(r.at)))"
+    return f"transform(array(named_struct('items', {items})), h -> {blocks})[0]"  # the items are named, so they are made once
+
+
+def _located(text: str, hits: str, pattern_sql: str, valid: str, kind: int) -> str:
     """SQL: spans (start, kind, end, value) of the valid ones of ``hits``; what lies between them gives the places."""
-    empty = "cast(array() AS array<struct<start:int,kind:int,end:int,value:string>>)"
-    span = f"array(named_struct('start', acc.at + length(x.gap), 'kind', {kind}, 'end', acc.at + length(x.gap) + length(x.hit), 'value', x.hit))"
-    return (
-        f"aggregate(zip_with(split({text}, {pattern_sql}, -1), {hits}, (gap, hit) -> named_struct('gap', gap, 'hit', hit)), "
-        f"named_struct('at', {shift}, 'out', {empty}), "
-        f"(acc, x) -> named_struct('at', acc.at + coalesce(length(x.gap), 0) + coalesce(length(x.hit), 0), "
-        f"'out', CASE WHEN x.hit IS NOT NULL AND {valid} THEN concat(acc.out, {span}) ELSE acc.out END), acc -> acc.out)"
-    )
+    items = f"zip_with(split({text}, {pattern_sql}, -1), {hits}, (gap, hit) -> named_struct('gap', gap, 'hit', hit))"
+    starts = _running("g.items", "acc.at + coalesce(length(x.gap), 0) + coalesce(length(x.hit), 0)")
+    placed = f"zip_with(g.items, {starts}, (y, at) -> named_struct('start', at + length(y.gap), 'kind', {kind}, 'end', at + length(y.gap) + length(y.hit), 'hit', y.hit))"
+    return f"cast(transform(array(named_struct('items', {items})), g -> filter({placed}, x -> x.hit IS NOT NULL AND {valid}))[0] AS {_SPANS})"
+
+
+def _uncovered(spans: str, base: str) -> str:
+    """SQL: those of ``spans`` that no span of ``base``, sorted by start, overlaps: the farthest end of all that begin before is found by halving."""
+    middle = "cast((a.lo + a.hi) div 2 AS int)"
+    halve = f"CASE WHEN a.lo >= a.hi THEN a WHEN s.base[{middle}].start < t.end THEN named_struct('lo', {middle} + 1, 'hi', a.hi) ELSE named_struct('lo', a.lo, 'hi', {middle}) END"
+    before = f"aggregate(sequence(0, length(bin(size(s.base)))), named_struct('lo', 0, 'hi', size(s.base)), (a, i) -> {halve}, a -> a.lo)"
+    reach = _running(base, "greatest(acc.at, x.end)")  # before each span; so the one at ``before`` is of all spans before it
+    return f"transform(array(named_struct('spans', {spans}, 'base', {base}, 'reach', {reach})), s -> filter(s.spans, t -> s.reach[{before}] <= t.start))[0]"
 
 
 def _literal(pattern: str) -> str:
@@ -88,7 +108,7 @@ def _literal(pattern: str) -> str:
 
 def with_base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
     """``docs`` with ``_base``: all base spans by start, then kind."""
-    none = "cast(array() AS array<struct<start:int,kind:int,end:int,value:string>>)"
+    none = f"cast(array() AS {_SPANS})"
     for kind in KINDS:
         pattern = _literal(_PATTERNS[kind])
         need = F.col(text).contains("@") if kind == "email" else F.col(text).rlike(_NEEDS[kind])
@@ -174,8 +194,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     marked = copies.join(told, text).withColumn("_hits", F.expr(f"regexp_extract_all(_text, {_literal(_WORDS)}, 0)"))
     places = _located("_text", "_hits", _literal(_WORDS), "map_contains_key(_told, lower(x.hit))", len(KINDS))
     # a term inside a base span is covered by it
-    free = f"filter({places}, t -> NOT exists(_base, b -> t.start < b.end AND b.start < t.end))"
-    acted = f"transform({free}, t -> named_struct('start', t.start, 'kind', t.kind, 'end', t.end, 'value', _told[lower(t.value)]))"
+    acted = f"transform({_uncovered(places, '_base')}, t -> named_struct('start', t.start, 'kind', t.kind, 'end', t.end, 'value', _told[lower(t.value)]))"
     terms = keep(marked.select(*text, F.expr(acted).alias("_terms")), "pii-spans")
     shown = [*(["_row"] if carry else []), "_id", "_text", "_base", "_terms"]
     none = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,value:string>>)")
@@ -203,9 +222,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
     found = find(docs, id_col, text_col, carry=docs.columns)
     found = found.withColumn("_all", F.array_sort(F.concat("_base", "_terms")))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in (*KINDS, TERM)) + ")"
-    edited = (
-        "aggregate(_all, named_struct('at', 0, 'out', ''), (acc, s) -> CASE WHEN s.start < acc.at THEN acc ELSE "
-        f"named_struct('at', s.end, 'out', concat(acc.out, substring(_text, acc.at + 1, s.start - acc.at), CASE WHEN s.value = 'remove' AND s.kind = {len(KINDS)} THEN '' ELSE element_at({names}, s.kind + 1) END)) END, "
-        "acc -> concat(acc.out, substring(_text, acc.at + 1, length(_text))))"
-    )
+    # pieces are cut from the text of their block, as a cut counts characters from the start
+    piece = f"concat(acc.out, substring(b.text, acc.at - b.at + 1, x.start - acc.at), CASE WHEN x.value = 'remove' AND x.kind = {len(KINDS)} THEN '' ELSE element_at({names}, x.kind + 1) END)"
+    step = f"CASE WHEN x.start < acc.at THEN acc ELSE named_struct('at', x.end, 'out', {piece}) END"
+    block = f"transform(array(named_struct('at', outer.at, 'own', slice(_all, k * {BLOCK} + 1, {BLOCK}), 'text', substring(_text, outer.at + 1, greatest(0, array_max(transform(slice(_all, k * {BLOCK} + 1, {BLOCK}), x -> x.start)) - outer.at)))), b -> aggregate(b.own, named_struct('at', b.at, 'out', ''), (acc, x) -> {step}, acc -> named_struct('at', acc.at, 'outs', concat(outer.outs, array(acc.out)))))[0]"
+    blocks = f"aggregate(sequence(0, (size(_all) - 1) div {BLOCK}), named_struct('at', 0, 'outs', cast(array() AS array<string>)), (outer, k) -> {block}, r -> concat(array_join(r.outs, ''), substring(_text, r.at + 1, length(_text))))"
+    edited = f"CASE WHEN size(_all) = 0 THEN _text ELSE {blocks} END"
     return found.select("_row.*", F.expr(edited).alias(out))
