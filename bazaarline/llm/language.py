@@ -39,6 +39,8 @@ MAX_GRAMS = 1 << 25
 BUCKETS, DIMENSIONS = 1 << 15, 16
 GRAMS = (2, 3, 4)
 EPOCHS, RATE = 6, 1.0
+#: Steps that each language is worth, within so many epochs, where there are few documents of each.
+STEPS, MOST_EPOCHS = 200, 60
 #: Share of right predictions on held-back documents that may be rejected.
 REJECTED = 0.01
 UNKNOWN = "und"
@@ -118,8 +120,9 @@ def sgd(sample: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mode
     learn = [k for k in range(len(sample)) if k % 5 != 4]
     vectors = rng.normal(0, DIMENSIONS**-0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps, step = EPOCHS * len(learn), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, min(MOST_EPOCHS, STEPS * len(languages) // max(1, len(learn))))
+    steps, step = epochs * len(learn), 0
+    for _ in range(epochs):
         for k in rng.permutation(learn):
             _, idx, w = sample[k]
             rate = np.float32(RATE * (1 - step / steps))

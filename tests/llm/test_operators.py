@@ -246,9 +246,12 @@ def test_no_language_is_dropped(spark, monkeypatch):
     own = {f"l{k:03d}": ["".join(rng.choice(letters) for _ in range(7)) for _ in range(12)] for k in range(600)}
     rows = [(lang, " ".join(rng.choice(w) for _ in range(40))) for k, (lang, w) in enumerate(own.items()) for _ in range(6 if k > 590 else 12)]
     rows = [(k, text, lang) for k, (lang, text) in enumerate(rows)]
-    got = language.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = language.predict_languages(docs).collect()
     learned = {rows[r.doc_id][2] for r in got if not r.held_out}
-    assert {r.lang_pred for r in got} >= learned and len(learned) > 590
+    held = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang")).where(~language.held_out(F.col("_id")))
+    assert set(language.train(held).languages) == learned and len(learned) > 590
+    assert sum(r.lang_pred in own for r in got) == len(got)
     assert sum(r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out and rows[r.doc_id][2] in learned) > 0.9 * sum(r.held_out for r in got)
 
 
