@@ -11,10 +11,11 @@ Near copies are sets alike to ``ALIKE`` by Jaccard similarity
 (:func:`near_classes`). Each set brings only its rarest signatures, so many that
 sets so alike have one in common. Those that several sets bring are blocks, dealt
 out by set size: a partition of sizes and the next one hold all that can be
-alike. In a block every set is compared with the smallest, the pivot; that links
-the copies of one text without all their pairs. Sets of a block that are still
-in different components are compared if neither their sizes, nor the place of
-the signature among theirs, nor their distances to the pivot rule out the wanted
+alike. In a block every set is compared with a pivot, the one that has most of its
+signatures in common with others, and then with ``PIVOTS`` - 1 more that the first ones
+don't reach; that links the copies of one text without all their pairs. Sets of a block
+that are still in different components are compared if neither their sizes, nor the place of
+the signature among theirs, nor their distances to the pivots rule out the wanted
 likeness. The order of rarity comes from counters of a fixed number, and any order
 gives the same links.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .membership import filtered
 from .simhash import component_ids, components
-from .storage import keep
+from .storage import drop, finished, keep, work_tables
 
 #: Anchors: common words of English, French, German and Spanish.
 ANCHORS = (
@@ -48,6 +49,8 @@ ANCHORS = (
 CHAIN = 2
 #: Likeness of near copies, and counters that order signatures by how often they occur.
 ALIKE, COUNTERS = 0.8, 1 << 18
+#: Sets of a block that all others are compared with before the rest is compared in pairs.
+PIVOTS = 3
 #: Rows for each block that the bounds of blocks are estimated from.
 PER_BOUND = 64
 _END = "."
@@ -136,36 +139,61 @@ def _scored(pairs: DataFrame, rows: DataFrame, at_least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", jaccard(F.col("s1"), F.col("s2"), at_least).alias("j"))
 
 
+def _bounds(size1: str, size2: str, place1: str, place2: str, likeness: float) -> Column:
+    """Whether sizes, and the places of a common signature that is the first one, leave the wanted likeness possible."""
+    small, large = F.least(size1, size2), F.greatest(size1, size2)
+    # if the signature is the first that both have, so many can be in common at most
+    common = F.least(F.col(size1) - F.col(place1), F.col(size2) - F.col(place2))
+    return (small >= large * F.lit(likeness - 1e-9)) & (common >= (F.col(size1) + F.col(size2)) * F.lit(likeness / (1 + likeness) - 1e-9))
+
+
 def alike_components(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
     """(node, root): the smallest node that links between alike sets reach, for the nodes of (_node, _sigs) with links."""
-    prefixes = keep(_prefixes(rows, likeness), "spot-prefixes")
-    shared = prefixes.groupBy("_token").agg(F.min("_node").alias("lo"), F.max("_node").alias("hi")).where("lo <> hi").select("_token")
-    shared = keep(shared, "spot-shared")
-    members = filtered(prefixes, shared, "_token").join(shared, "_token", "left_semi").groupBy("_token", "_node").agg(F.first("_size").alias("_size"), F.first("_place").alias("_place"))
-    part = size_partition(F.col("_size"), likeness)
-    blocks = keep(members.withColumn("_part", F.explode(F.array(part, part - 1))), "spot-blocks")
-    where = ["_part", "_token"]
-    pivots = blocks.groupBy(*where).agg(F.min(F.struct("_size", "_node")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*where, F.col("p._node").alias("_pivot"))
-    blocks = keep(blocks.join(pivots, where), "spot-pivots")
-    near = keep(_scored(blocks.where("_node <> _pivot").select(F.col("_pivot").alias("a"), F.col("_node").alias("b")).distinct(), rows, 0.0), "spot-near")
-    links = near.where(F.col("j") >= likeness - 1e-9).select("a", "b")
-    roots = components(links).withColumnRenamed("node", "_node").withColumnRenamed("root", "_root")
-    placed = blocks.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    placed = keep(placed.join(near.select(F.col("a").alias("_pivot"), F.col("b").alias("_node"), "j"), ["_pivot", "_node"], "left").withColumn("j", F.coalesce("j", F.lit(1.0))), "spot-placed")
-    # a pivot is through with its block
-    open_ = placed.groupBy(*where).agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select(*where)
-    rest = keep(placed.where("_node <> _pivot").join(open_, where, "left_semi").select(*where, "_node", "_size", "_place", "_root", "j"), "spot-rest")
-    one, two = (rest.select(*where, *[F.col(c).alias(f"{c}{k}") for c in ("_node", "_size", "_place", "_root", "j")]) for k in (1, 2))
-    sizes = (F.col("_size1") <= F.col("_size2")) & (F.col("_size1") >= F.col("_size2") * F.lit(likeness - 1e-9)) & ((F.col("_size1") < F.col("_size2")) | (F.col("_node1") < F.col("_node2")))
-    # if the signature is the first that both have, so many can be in common at most
-    common = F.least(F.col("_size1") - F.col("_place1"), F.col("_size2") - F.col("_place2"))
-    places = common >= (F.col("_size1") + F.col("_size2")) * F.lit(likeness / (1 + likeness) - 1e-9)
-    # 1 - likeness is a metric
-    distances = F.abs(F.col("j1") - F.col("j2")) <= 1 - likeness + 1e-9
-    pairs = one.join(two, where).where((F.col("_root1") != F.col("_root2")) & sizes & places & distances).select(F.col("_node1").alias("a"), F.col("_node2").alias("b")).distinct()
-    pairs = keep(pairs, "spot-pairs")
+    spark, where = rows.sparkSession, ["_part", "_token"]
+    with work_tables() as first:
+        prefixes = keep(_prefixes(rows, likeness), "spot-prefixes")
+        shared = prefixes.groupBy("_token").agg(F.min("_node").alias("lo"), F.max("_node").alias("hi")).where("lo <> hi").select("_token")
+        shared = keep(shared, "spot-shared")
+        members = filtered(prefixes, shared, "_token").join(shared, "_token", "left_semi").groupBy("_token", "_node").agg(F.first("_size").alias("_size"), F.first("_place").alias("_place"))
+        part = size_partition(F.col("_size"), likeness)
+        blocks = finished(members.withColumn("_part", F.explode(F.array(part, part - 1))), "spot-blocks", first)
+    # the set in the middle of copies has most of its signatures in common with others
+    weights = blocks.groupBy("_node").agg(F.count(F.lit(1)).alias("_weight"))
+    live = blocks.join(weights, "_node").withColumns({"_root": F.col("_node"), "_free": F.lit(True), "_js": F.array().cast("array<double>")})
+    links = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    before: list[str] = []
+    for _ in range(PIVOTS):
+        with work_tables() as made:
+            pivots = live.groupBy(*where).agg(F.max(F.struct("_free", "_weight", "_node", "_size", "_place", "_root")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+            pivots = pivots.select(*where, F.col("p._node").alias("_pivot"), F.col("p._size").alias("_psize"), F.col("p._place").alias("_pplace"), F.col("p._root").alias("_proot"))
+            placed = keep(live.join(pivots, where), "spot-placed")
+            asked = placed.where((F.col("_node") != F.col("_pivot")) & (F.col("_root") != F.col("_proot")) & _bounds("_size", "_psize", "_place", "_pplace", likeness))
+            near = keep(_scored(asked.select(F.col("_pivot").alias("a"), F.col("_node").alias("b")).distinct(), rows, 0.0), "spot-near")
+            links = keep(links.unionByName(near.where(F.col("j") >= likeness - 1e-9).select("a", "b")), "spot-links")
+            roots = keep(components(links), "spot-roots")
+            known = placed.drop("_root", "_proot", "_free").join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node", "left").join(roots.select(F.col("node").alias("_pivot"), F.col("root").alias("_proot")), "_pivot", "left")
+            known = known.withColumns({"_root": F.coalesce("_root", "_node"), "_proot": F.coalesce("_proot", "_pivot")}).join(near.select(F.col("a").alias("_pivot"), F.col("b").alias("_node"), "j"), ["_pivot", "_node"], "left")
+            # a pivot is through with its block; so is a block all of whose others are of one component
+            rest = known.where("_node <> _pivot").withColumns({"_free": F.col("_root") != F.col("_proot"), "_js": F.array_append("_js", F.col("j"))})
+            open_ = rest.groupBy(*where).agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select(*where)
+            live = keep(rest.join(open_, where, "left_semi").select(*where, "_node", "_size", "_place", "_weight", "_root", "_free", "_js"), "spot-rest")
+            kept_now = made[-1:]
+            kept_now += [p for p in made if "/spot-links-" in p or "/spot-roots-" in p]
+        for path in [*(p for p in made if p not in kept_now), *before]:
+            drop(spark, path)
+        before = kept_now
+        if live.isEmpty():
+            return roots
+    names = ("_node", "_size", "_place", "_root", "_js")
+    one, two = (live.select(*where, *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 2))
+    ordered = (F.col("_size1") < F.col("_size2")) | ((F.col("_size1") == F.col("_size2")) & (F.col("_node1") < F.col("_node2")))
+    # 1 - likeness is a metric, so sets that are alike are as far from each pivot; null is not known
+    distances = F.forall(F.zip_with("_js1", "_js2", lambda x, y: F.coalesce(F.abs(x - y) <= 1 - likeness + 1e-9, F.lit(True))), lambda x: x)
+    pairs = one.join(two, where).where(ordered & (F.col("_root1") != F.col("_root2")) & _bounds("_size1", "_size2", "_place1", "_place2", likeness) & distances)
+    pairs = keep(pairs.select(F.col("_node1").alias("a"), F.col("_node2").alias("b")).distinct(), "spot-pairs")
     if pairs.isEmpty():
-        return roots.withColumnsRenamed({"_node": "node", "_root": "root"})
+        return roots
     more = _scored(pairs, rows, likeness).where(F.col("j") >= likeness - 1e-9).select("a", "b")
     return components(links.unionByName(more))
 
