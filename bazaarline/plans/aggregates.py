@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cents, js_round, mean_cents, median_mid, median_upper, share, variation
-from ..operators import stats
+from ..operators import folds, stats
 from ..operators.sequences import on_every_day
 from .base import AS_OF, EVENTS_AS_OF, c, query, r2, table, when_ts
 
@@ -311,12 +311,8 @@ def _(spark, d):
        SELECT l_partkey, max(k) AS n, arg_max(m, k) AS daily_mean FROM f GROUP BY l_partkey""",
 )
 def _(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("l_shipdate", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"))))
-    lists = table(spark, d, "lineitem").groupBy("l_partkey").agg(ordered.alias("s"))  # the sales of one product
-    start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("m"))
-    step = lambda acc, e: F.struct((acc["k"] + 1).alias("k"), F.when(acc["k"] == 0, e["x"]).otherwise(js_round((acc["m"] * acc["k"] + e["x"]) / (acc["k"] + 1), 2)).alias("m"))
-    folded = lists.withColumn("f", F.aggregate("s", start, step))
-    return folded.select("l_partkey", F.col("f.k").alias("n"), F.col("f.m").alias("daily_mean"))
+    means = folds.incremental_mean(table(spark, d, "lineitem"), "l_partkey", ["l_shipdate", "l_orderkey", "l_linenumber"], "l_extendedprice")
+    return means.withColumnRenamed("mean", "daily_mean")
 
 
 @query(

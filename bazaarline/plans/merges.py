@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cents, js_round
 from ..functions.text import jaccard, slug_tokens, title_key
 from ..operators import dedup, merge
-from .base import AS_OF, EVENTS_AS_OF, c, clock, query, table, when_ts
-
+from ..sources.store import Store
+from .base import AS_OF, EVENTS_AS_OF, c, clock, query, scratch, table, when_ts
 
 
 def _halves(spark, d):
@@ -23,6 +23,10 @@ _HALVES = """WITH o AS (SELECT o_custkey AS url, o_orderkey, o_orderstatus, o_to
        old AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY o_orderkey DESC) = 1)"""
 
 
+def _store(spark, key: str, schema: str) -> Store:
+    return Store(scratch(spark, "store"), key, schema, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query("st_01_union_of_platforms", "SELECT 'doc' AS platform, doc_id AS id, n_chars AS size, NULL AS url FROM documents UNION ALL SELECT 'page', page_id, NULL, url FROM pages")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.lit("doc").alias("platform"), F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
@@ -44,8 +48,11 @@ def _(spark, d):
 
 @query("st_03_snapshot_overlay", f"{_HALVES} SELECT url, o_orderkey FROM new UNION ALL SELECT url, o_orderkey FROM old WHERE url NOT IN (SELECT url FROM new)")
 def _(spark, d):
-    new, old = _halves(spark, d)
-    return merge.overlay(new, old, "url").select("url", "o_orderkey")
+    """The old snapshot is kept by url in buckets; the new one rewrites those that it touches."""
+    new, old = (x.select("url", "o_orderkey", "seen") for x in _halves(spark, d))
+    kept = _store(spark, "url", "url long, o_orderkey long, seen timestamp").create(old)
+    kept.upsert(new, "o_orderkey")
+    return kept.read(spark).select("url", "o_orderkey")
 
 
 @query(
@@ -102,9 +109,12 @@ def _(spark, d):
 
 @query("st_09_patch_by_key", "SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'archived' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)")
 def _(spark, d):
-    gone = table(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
-    left = table(spark, d, "orders").join(gone, "o_orderkey", "left_anti")
-    return left.select("o_orderkey", F.when(F.col("o_custkey") % 7 == 0, "archived").otherwise(F.col("o_orderstatus")).alias("status"))
+    """Orders are kept by key in buckets: some are deleted, then the status of others is patched."""
+    orders, gone = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    kept = _store(spark, "o_orderkey", "o_orderkey long, status string").create(orders.select("o_orderkey", F.col("o_orderstatus").alias("status")))
+    kept.delete(gone)
+    kept.patch(orders.where("o_custkey % 7 = 0"), {"status": F.lit("archived")})
+    return kept.read(spark)
 
 
 @query("st_10_protected_prune", "SELECT p_partkey FROM part WHERE p_size > 40 OR (SELECT count(*) FROM part WHERE p_size > 40) < 50")

@@ -55,8 +55,8 @@ def _(spark, d):
     ad = F.concat(F.lit('[{"subject":"'), "event_type", F.lit('","price":'), F.get_json_object("props", "$.k"), F.lit("}]"))
     deep = F.concat(F.lit('{"props":{"pageProps":{"data":[{"other":1},[{"results":{"ads":'), ad, F.lit("}}]]}}}"))
     page = F.when(F.col("event_type") == "error", F.col("props")).when(F.col("event_type") == "click", deep).otherwise(F.concat(F.lit('{"items":'), ad, F.lit("}")))
-    ads = F.from_json(pages.ads_in(page), "array<struct<subject: string, price: double>>")
-    return table(spark, d, "events").select("event_id", F.inline(ads))
+    found = pages.find_ads(table(spark, d, "events").withColumn("page", page), "event_id", "page")
+    return found.select("event_id", F.inline(F.from_json("ads", "array<struct<subject: string, price: double>>")))
 
 
 @query("sc_06_actor_rows", "SELECT event_id FROM events WHERE value <= 250 AND event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")

@@ -75,27 +75,25 @@ AD_KEYS = ("ads", "results", "items", "listings", "props", "pageProps", "data")
 AD_DEPTH, AD_HEADS = 8, 5
 
 
-def ads_in(document: Column) -> Column:
-    """JSON of the first array in a document whose head has a subject and a price; null if there is none.
-
-    All nodes of a level are opened together, each with the way that led there: one
-    letter a step, so the least way is the one that a search in depth would find
-    first. A node that looks like listings is opened no further.
+def find_ads(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, ads): the JSON of the first array in a document whose head has a subject and a price, for the keys that have one.
+
+    Each round opens the nodes of a level, a row each, by ``variant_explode``: arrays
+    have their first elements opened, objects the keys that lead to listings, and
+    leaves have nothing to open. A node that looks like listings goes on as it is. The way
+    to a node is one letter a step, so the least way is the one that a search in depth
+    would find first. No round shuffles; ``key`` must tell the rows apart.
     """
-    steps = [f"$.{k}" for k in AD_KEYS] + [f"$[{k}]" for k in range(AD_HEADS)]
-
-    def filled(node: Column, path: str) -> Column:
-        value = F.try_variant_get(node, path, "string")
-        return F.coalesce(~value.isin("", "0", "false"), F.lit(False))
-
-    def found(node: Column) -> Column:
-        return filled(node, "$[0].subject") & filled(node, "$[0].price")
-
-    def opened(n: Column) -> Column:
-        children = [F.struct(F.concat(n["way"], F.lit(chr(97 + k))).alias("way"), F.try_variant_get(n["node"], path, "variant").alias("node")) for k, path in enumerate(steps)]
-        return F.when(found(n["node"]), F.array(n)).otherwise(F.filter(F.array(*children), lambda x: x["node"].isNotNull()))
-
-    root = F.array(F.struct(F.lit("").alias("way"), F.try_parse_json(document).alias("node")))
-    nodes = F.aggregate(F.sequence(F.lit(1), F.lit(AD_DEPTH)), root, lambda level, _: F.flatten(F.transform(level, opened)))
-    ads = F.filter(nodes, lambda x: found(x["node"]))
-    return F.array_min(F.transform(ads, lambda x: F.struct(x["way"], F.to_json(x["node"]).alias("ads"))))["ads"]
+    spark = rows.sparkSession
+    filled = lambda node, path: F.coalesce(~F.try_variant_get(node, path, "string").isin("", "0", "false"), F.lit(False))
+    found = lambda node: filled(node, "$[0].subject") & filled(node, "$[0].price")
+    letter = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(AD_KEYS) for x in (name, chr(97 + k))]), F.col("key"))
+    step = F.when(F.col("key").isNull(), F.char(F.col("pos") + 97 + len(AD_KEYS))).otherwise(letter)
+    nodes = rows.select(F.col(key).alias("_id"), F.lit("").alias("_way"), F.try_parse_json(document).alias("_node")).where("_node IS NOT NULL").withColumn("_found", found(F.col("_node")))
+    for _ in range(AD_DEPTH):
+        opened = nodes.withColumn("_open", F.when(F.col("_found"), F.to_variant_object(F.array("_node"))).otherwise(F.col("_node")))
+        below = opened.lateralJoin(spark.tvf.variant_explode(F.col("_open").outer()))
+        below = below.where(F.col("_found") | F.col("key").isin(*AD_KEYS) | (F.col("key").isNull() & (F.col("pos") < AD_HEADS)))
+        nodes = below.select("_id", F.when(F.col("_found"), F.col("_way")).otherwise(F.concat("_way", step)).alias("_way"), F.col("value").alias("_node"), (F.col("_found") | found(F.col("value"))).alias("_found"))
+    first = nodes.where("_found").select("_id", F.struct("_way", F.to_json("_node").alias("ads")).alias("_first")).groupBy("_id").agg(F.min("_first").alias("_first"))
+    return first.select(F.col("_id").alias(key), "_first.ads")

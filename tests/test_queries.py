@@ -63,13 +63,31 @@ def test_nested_ads_cases(spark):
         "no json",
         None,
     ]
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    got = {r["k"]: r["ads"] for r in rows.select("k", pages.ads_in(F.col("t")).alias("ads")).collect()}
+    got = {r["k"]: r["ads"] for r in pages.find_ads(rows, "k", "t").collect()}
     second = got[2].replace(" ", "")
-    assert '"b"' in second and got[0] and got[4]
-    assert [got[k] for k in (1, 3, 5, 6, 7)] == [None] * 5
+    assert '"b"' in second and sorted(got) == [0, 2, 4]
+
+
+def test_nested_ads_in_linear_time(spark):
+    """Five children a level over eight levels, 390,625 leaves; listings in the last one, and deeper still."""
+    import json
+    import time
+
+    from bazaarline.sources import pages
+
+    def tree(depth, last):
+        return last if depth == 0 else [tree(depth - 1, None) if k < 4 else tree(depth - 1, last) for k in range(5)]
+
+    def bare(depth):
+        return [] if depth == 0 else [bare(depth - 1)] * 5
+
+    ad = [{"subject": "s", "price": 2}]
+    texts = [json.dumps(tree(8, ad)), json.dumps([tree(8, ad)]), json.dumps(bare(8)), json.dumps({"x": ad, "items": [0, 0, 0, 0, {"ads": [[], ad]}]})]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    began = time.time()
+    got = {r["k"]: json.loads(r["ads"]) for r in pages.find_ads(rows, "k", "t").collect()}
+    assert got == {0: ad, 3: ad} and time.time() - began < 60
 
 
 def test_peers_cases(spark):
