@@ -99,3 +99,35 @@ def test_peers_cases(spark):
     got = peers.cheap_against_rest(spark.createDataFrame(rows, schema), "g", "id", "price", "v", 0.6).collect()
     assert sorted(map(tuple, got)) == [(1, 1.0, 2, 6.0, 5.0), (7, 1.0, 3, 2.0, 3.0)]
     assert peers.cheap_against_rest(spark.createDataFrame([], schema), "g", "id", "price", "v", 0.6).collect() == []
+
+
+def test_peers_of_clustered_vectors(spark, monkeypatch):
+    """The rows of all products of blocks, from a tenth of the pairs."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from bazaarline.operators import peers
+
+    monkeypatch.setattr(peers, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 24))
+    rows = [(k % 10 == 0 and "b" or "a", k, float(rng.integers(1, 60)), (centres[k % 60] + rng.normal(scale=0.04, size=24)).tolist()) for k in range(4000)]
+    df = spark.createDataFrame(rows, "g string, id long, price double, v array<float>").repartition(4)
+    got = sorted((r.id, r.peers, r.median) for r in peers.cheap_against_rest(df, "g", "id", "price", "v", 0.9).collect())
+    units = np.array([r[3] for r in rows], np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    want, every = [], 0
+    for g in "ab":
+        own = sorted((r[2], r[1]) for r in rows if r[0] == g)
+        cheap, rest = own[: -(-len(own) // 4)], own[-(-len(own) // 4) :]
+        every += len(cheap) * len(rest)
+        alike = units[[i for _, i in cheap]] @ units[[i for _, i in rest]].T >= 0.9
+        for (_, i), hit in zip(cheap, alike, strict=True):
+            prices = sorted(p for (p, _), h in zip(rest, hit, strict=True) if h)
+            if len(prices) >= 2:
+                want.append((i, len(prices), prices[len(prices) // 2]))
+    assert got == sorted(want) and len(want) > 900
+    placed = peers.placed_rows(df, "g", "id", "price", "v")
+    blocks = peers._blocks(placed, peers._anchors(placed))
+    compared = peers.block_pairs(blocks, 0.9).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    assert compared < 0.1 * every
