@@ -11,11 +11,12 @@ Near copies are sets alike to ``ALIKE`` by Jaccard similarity
 (:func:`near_classes`). Each set brings only its rarest signatures, so many that
 sets so alike have one in common. Those that several sets bring are blocks, dealt
 out by set size: a partition of sizes and the next one hold all that can be
-alike. In a block every set is compared with a pivot, the one that has most of its
-signatures in common with others, and then with ``PIVOTS`` - 1 more that the first ones
-don't reach; that links the copies of one text without all their pairs. Sets of a block
-that are still in different components are compared if neither their sizes, nor the place of
-the signature among theirs, nor their distances to the pivots rule out the wanted
+alike. A block has a pivot, the set that has most of its signatures in common with
+others. Each set is first compared with one pivot, the foremost of all its blocks; then
+those that it doesn't reach are once more; that links the copies of one text
+without all their pairs. Blocks that still hold several components compare a pivot with
+all of its block. Sets of a block that are still in different components are compared if neither their sizes, nor the place of
+the signature among theirs, nor their distances to the pivot rule out the wanted
 likeness. The order of rarity comes from counters of a fixed number, and any order
 gives the same links.
 
@@ -49,7 +50,7 @@ ANCHORS = (
 CHAIN = 2
 #: Likeness of near copies, and counters that order signatures by how often they occur.
 ALIKE, COUNTERS = 0.8, 1 << 18
-#: Sets of a block that all others are compared with before the rest is compared in pairs.
+#: Rounds of comparisons with pivots before the rest is compared in pairs; the last one is with all of a block.
 PIVOTS = 3
 #: Rows for each block that the bounds of blocks are estimated from.
 PER_BOUND = 64
@@ -159,25 +160,29 @@ def alike_components(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
         blocks = finished(members.withColumn("_part", F.explode(F.array(part, part - 1))), "spot-blocks", first)
     # the set in the middle of copies has most of its signatures in common with others
     weights = blocks.groupBy("_node").agg(F.count(F.lit(1)).alias("_weight"))
-    live = blocks.join(weights, "_node").withColumns({"_root": F.col("_node"), "_free": F.lit(True), "_js": F.array().cast("array<double>")})
+    live = blocks.join(weights, "_node").withColumns({"_root": F.col("_node"), "_free": F.lit(True)})
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
     before: list[str] = []
-    for _ in range(PIVOTS):
+    for whole in [False] * (PIVOTS - 1) + [True]:
         with work_tables() as made:
             pivots = live.groupBy(*where).agg(F.max(F.struct("_free", "_weight", "_node", "_size", "_place", "_root")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-            pivots = pivots.select(*where, F.col("p._node").alias("_pivot"), F.col("p._size").alias("_psize"), F.col("p._place").alias("_pplace"), F.col("p._root").alias("_proot"))
+            pivots = pivots.select(*where, F.col("p._node").alias("_pivot"), F.col("p._size").alias("_psize"), F.col("p._place").alias("_pplace"), F.col("p._root").alias("_proot"), F.col("p._weight").alias("_pweight"))
             placed = keep(live.join(pivots, where), "spot-placed")
             asked = placed.where((F.col("_node") != F.col("_pivot")) & (F.col("_root") != F.col("_proot")) & _bounds("_size", "_psize", "_place", "_pplace", likeness))
-            near = keep(_scored(asked.select(F.col("_pivot").alias("a"), F.col("_node").alias("b")).distinct(), rows, 0.0), "spot-near")
+            if whole:
+                asked = asked.select(F.col("_pivot").alias("a"), F.col("_node").alias("b")).distinct()
+            else:  # of all its blocks' pivots a set is compared with the first one only
+                asked = asked.groupBy(F.col("_node").alias("b")).agg(F.max(F.struct("_pweight", "_pivot"))["_pivot"].alias("a")).select("a", "b")
+            near = keep(_scored(asked, rows, 0.0), "spot-near")
             links = keep(links.unionByName(near.where(F.col("j") >= likeness - 1e-9).select("a", "b")), "spot-links")
             roots = keep(components(links), "spot-roots")
-            known = placed.drop("_root", "_proot", "_free").join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node", "left").join(roots.select(F.col("node").alias("_pivot"), F.col("root").alias("_proot")), "_pivot", "left")
+            known = placed.drop("_root", "_proot", "_free", "_pweight").join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node", "left").join(roots.select(F.col("node").alias("_pivot"), F.col("root").alias("_proot")), "_pivot", "left")
             known = known.withColumns({"_root": F.coalesce("_root", "_node"), "_proot": F.coalesce("_proot", "_pivot")}).join(near.select(F.col("a").alias("_pivot"), F.col("b").alias("_node"), "j"), ["_pivot", "_node"], "left")
-            # a pivot is through with its block; so is a block all of whose others are of one component
-            rest = known.where("_node <> _pivot").withColumns({"_free": F.col("_root") != F.col("_proot"), "_js": F.array_append("_js", F.col("j"))})
+            # a pivot that all others were compared with is through with its block; so is a block whose sets are of one component
+            rest = (known.where("_node <> _pivot") if whole else known).withColumns({"_free": F.col("_root") != F.col("_proot"), "_j": F.col("j")})
             open_ = rest.groupBy(*where).agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select(*where)
-            live = keep(rest.join(open_, where, "left_semi").select(*where, "_node", "_size", "_place", "_weight", "_root", "_free", "_js"), "spot-rest")
+            live = keep(rest.join(open_, where, "left_semi").select(*where, "_node", "_size", "_place", "_weight", "_root", "_free", "_j"), "spot-rest")
             kept_now = made[-1:]
             kept_now += [p for p in made if "/spot-links-" in p or "/spot-roots-" in p]
         for path in [*(p for p in made if p not in kept_now), *before]:
@@ -185,11 +190,11 @@ def alike_components(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
         before = kept_now
         if live.isEmpty():
             return roots
-    names = ("_node", "_size", "_place", "_root", "_js")
+    names = ("_node", "_size", "_place", "_root", "_j")
     one, two = (live.select(*where, *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 2))
     ordered = (F.col("_size1") < F.col("_size2")) | ((F.col("_size1") == F.col("_size2")) & (F.col("_node1") < F.col("_node2")))
-    # 1 - likeness is a metric, so sets that are alike are as far from each pivot; null is not known
-    distances = F.forall(F.zip_with("_js1", "_js2", lambda x, y: F.coalesce(F.abs(x - y) <= 1 - likeness + 1e-9, F.lit(True))), lambda x: x)
+    # 1 - likeness is a metric, so sets that are alike are as far from the pivot; null is not known
+    distances = F.coalesce(F.abs(F.col("_j1") - F.col("_j2")) <= 1 - likeness + 1e-9, F.lit(True))
     pairs = one.join(two, where).where(ordered & (F.col("_root1") != F.col("_root2")) & _bounds("_size1", "_size2", "_place1", "_place2", likeness) & distances)
     pairs = keep(pairs.select(F.col("_node1").alias("a"), F.col("_node2").alias("b")).distinct(), "spot-pairs")
     if pairs.isEmpty():
