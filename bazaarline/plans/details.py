@@ -70,36 +70,12 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", signature.set_code(written).alias("code"))
 
 
-@query("fs_06_card_number", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN lpad(CAST(p_size AS VARCHAR), 3, '0') WHEN 1 THEN 'tg' || p_size ELSE NULL END AS number FROM part")
-def _(spark, d):
-    k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")
-    written = F.when(k == 0, F.concat(F.lit("card -#"), F.lpad(size, 3, "0"), F.lit("- holo"))).when(k == 1, F.concat(F.lit("card TG"), size, F.lit("/TG99"))).otherwise("card 2024 holo")
-    return signature.with_signature(table(spark, d, "part").select("p_partkey", written.alias("title")), "title").select("p_partkey", F.col("sig.card_number").alias("number"))
-
-
-@query("fs_08_shoe_size", "SELECT p_partkey, CASE WHEN p_size BETWEEN 30 AND 49 THEN CAST(p_size + CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) END AS size FROM part")
-def _(spark, d):
-    half = F.when(F.col("p_partkey") % 2 == 0, ",5").otherwise("")
-    title = F.concat(F.lit("Baskets taille "), F.col("p_size").cast("string"), half)
-    raw = F.regexp_extract(F.lower(title), word("(?:taille|size|eu|pointure) ?((?:3[0-9]|4[0-9])(?:[.,]5)?)"), 1)
-    return table(spark, d, "part").select("p_partkey", F.replace(raw, F.lit(","), F.lit(".")).try_cast("double").alias("size"))
-
-
 @query("fs_13_simple_price", f"SELECT p_partkey, {r2('p_retailprice')} AS price FROM part")
 def _(spark, d):
     written = F.concat(F.replace(F.format_string("%.2f", js_round(F.col("p_retailprice"), 2)), F.lit("."), F.lit(",")), F.lit(" €"))
     return table(spark, d, "part").select("p_partkey", F.replace(F.regexp_extract(written, "([0-9]+,[0-9]{2})", 1), F.lit(","), F.lit(".")).try_cast("double").alias("price"))
 
 
-@query("fs_19_ocr_numbers", "SELECT p_partkey, CASE WHEN p_size IN (5, 10, 25, 50) THEN CAST(p_size AS VARCHAR) END AS run FROM part")
-def _(spark, d):
-    """Print runs are only believed if they are among the known ones."""
-    found = F.regexp_extract(F.concat(F.lit("No. 7 / "), F.col("p_size").cast("string")), r"/ ?([0-9]{1,4})", 1)
-    known = F.array(*[F.lit(x) for x in ("1", "5", "10", "25", "50", "75", "99", "100", "150", "199", "250", "299", "399", "499")])
-    known = F.filter(known, lambda x: x.isin("5", "10", "25", "50"))
-    return table(spark, d, "part").select("p_partkey", F.when(F.array_contains(known, found), found).alias("run"))
-
-
 @query("fm_02_piecewise_speed", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 0.5 THEN 100.0 WHEN l_quantity <= 2 THEN 85 + (2 - l_quantity) * 10 WHEN l_quantity <= 7 THEN 55 + (7 - l_quantity) / 5 * 30 WHEN l_quantity <= 14 THEN 25 + (14 - l_quantity) / 7 * 30 WHEN l_quantity <= 30 THEN 5 + (30 - l_quantity) / 16 * 20 WHEN l_quantity <= 60 THEN (60 - l_quantity) / 30 * 5 ELSE 0 END AS speed FROM lineitem")
 def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scores.agent_speed(F.col("l_quantity")).alias("speed"))

@@ -346,8 +346,3 @@ _TITLE = """p_name || ' ' || '20' || lpad(CAST(p_size % 25 AS VARCHAR), 2, '0')
 )
 def _(spark, d):
     return signature.with_signature(_titles(spark, d), "title").select("p_partkey", *[F.col(f"sig.{x}").alias(x) for x in ("year", "print_run", "autograph", "graded", "is_lot", "card_category")])
-
-
-@query("dm_30_specificity")
-def _(spark, d):
-    return signature.with_signature(_titles(spark, d), "title").select("p_partkey", signature.specificity("sig").alias("specificity"))
