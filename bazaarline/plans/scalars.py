@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, dates, numbers, text
+from ..functions.lexicon import FRENCH_TO_ENGLISH
 from ..operators.signature import translated
 from .base import AS_OF, clock, query, r2, table, when_ts
 
@@ -25,9 +26,16 @@ def _(spark, d):
     return _documents(spark, d).withColumn("t", text.slug_tokens(F.col("text"))).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("h"))
 
 
-@query("fs_03_translation")
+def _in_english(text: str) -> str:
+    """SQL of the replacements, one within the other."""
+    for french in sorted(FRENCH_TO_ENGLISH, key=len, reverse=True):
+        text = f"regexp_replace({text}, '\\b{french}\\b', '{FRENCH_TO_ENGLISH[french]}', 'g')"
+    return text
+
+
+@query("fs_03_translation", f"SELECT doc_id, {_in_english('lower(strip_accents(text))')} AS english FROM documents WHERE lang = 'fr'")
 def _(spark, d):
-    """French titles in English; a fold of sixty replacements, held against cases in tests."""
+    """French titles in English: sixty replacements, longest phrases first."""
     return _documents(spark, d).where("lang = 'fr'").select("doc_id", translated(text.strip_accents(F.col("text"))).alias("english"))
 
 
