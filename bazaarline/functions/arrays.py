@@ -15,6 +15,12 @@ def prefix_exists(left: Column, right: Column, least: int = 4) -> Column:
     return F.exists(left, lambda a: (F.length(a) >= least) & F.exists(right, lambda b: b.startswith(a)))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity of two vectors; null if either is null or of length 0."""
+    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
+    return product(a, b) / F.nullif(F.sqrt(product(a, a)) * F.sqrt(product(b, b)), F.lit(0.0))
+
+
 def hamming_likeness(a: Column, b: Column) -> Column:
     """Share of equal places of two bit strings of the same length, else null."""
     same = F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda k: F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1))))

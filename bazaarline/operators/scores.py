@@ -220,3 +220,13 @@ def image_match(phash: Column, border: tuple[Column, Column], number: tuple[Colu
 
 def image_label(score: Column) -> Column:
     return F.when(score.isNull(), "unknown").when(score >= 0.78, "high").when(score >= 0.64, "medium").otherwise("low")
+
+
+def platform_score(accessible: Column, anti_bot: Column, response_ms: Column, difficulty: Column, priority: Column) -> Column:
+    """What speaks for looking for items on a platform, 100 at most. Nulls count for nothing."""
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    score = (
+        points(accessible, 30) + points(~anti_bot, 25) + points((response_ms > 0) & (response_ms < 5000), 15)
+        + F.when(difficulty == "easy", 20).when(difficulty == "medium", 10).otherwise(0) + F.when(priority == "high", 10).when(priority == "medium", 5).otherwise(0)
+    )
+    return F.least(F.lit(100), score)

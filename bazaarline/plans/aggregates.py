@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import cosine
 from ..functions.numbers import cents, js_round, mean_cents, median_mid, median_upper, share, variation
 from ..operators import folds, stats
 from ..operators.sequences import on_every_day
@@ -317,10 +318,15 @@ def _(spark, d):
 
 @query(
     "ag_41_best_similarity",
-    "SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: x > 0)) > 0 THEN floor(CAST(list_max(list_filter(embedding, lambda x: x > 0)) AS DOUBLE) * 100 + 0.5) END AS best FROM embeddings",
+    """WITH n AS (SELECT vec_id, embedding AS v, [lead(embedding, 1) OVER w, lead(embedding, 2) OVER w, lead(embedding, 3) OVER w] AS sold FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+       s AS (SELECT vec_id, list_transform(list_filter(sold, lambda x: x IS NOT NULL), lambda x: list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(x AS DOUBLE[]))) AS s FROM n)
+       SELECT vec_id, floor(list_max(s) * 100 + 0.5) AS best FROM s""",
 )
 def _(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", js_round(F.array_max(F.filter("embedding", lambda x: x > 0)).cast("double") * 100, 0).alias("best"))
+    """The best likeness of each picture to up to three that follow it in its label, as if they were its sales; null if there are none."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), F.array(*[F.lead("embedding", k).over(w) for k in (1, 2, 3)]).alias("sold"))
+    return rows.select("vec_id", js_round(F.array_max(F.transform("sold", lambda x: cosine(F.col("v"), x))) * 100, 0).alias("best"))
 
 
 @query(

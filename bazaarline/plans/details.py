@@ -116,13 +116,6 @@ def _(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("dm_23_platform_score", "WITH g AS (SELECT event_type AS platform, count(*) AS n, count(*) FILTER (value > 450) AS bad FROM events GROUP BY 1) SELECT platform, least(100, CASE WHEN n > 1000 THEN 30 ELSE 15 END + 25 + CASE WHEN bad * 10 < n THEN 20 ELSE 10 END + 10) AS score FROM g")
-def _(spark, d):
-    g = table(spark, d, "events").groupBy(F.col("event_type").alias("platform")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 450).alias("bad"))
-    parts = F.when(F.col("n") > 1000, 30).otherwise(15) + 25 + F.when(F.col("bad") * 10 < F.col("n"), 20).otherwise(10) + 10
-    return g.select("platform", F.least(F.lit(100), parts).alias("score"))
-
-
 @query("dm_26_rule_counts", "SELECT count(*) FILTER (regexp_matches(lower(text), '\\b(psa|bgs)\\b')) AS graded, count(*) FILTER (regexp_matches(lower(text), '\\b(lot|bundle)\\b')) AS lot, count(*) FILTER (regexp_matches(lower(text), '\\b(gold|or)\\b')) AS gold FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
 def _(spark, d):
     rejected = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")).join(table(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round
-from ..operators import dedup
+from ..operators import dedup, scores
 from ..sources import logs, pages
 from .base import EVENTS_AS_OF, query, r2, scratch, table, when_ts
 
@@ -32,6 +32,24 @@ def _(spark, d):
     return found.select("url", "strategy", "title", "link", "price", F.count(F.lit(1)).over(Window.partitionBy("url")).alias("of_page"))
 
 
+_HAS = lambda marks: "(" + " OR ".join(f"contains(lower(html), '{m}')" for m in marks) + ")"
+
+
+@query(
+    "dm_23_platform_score",
+    f"""WITH p AS (SELECT page_id, html AS plain, {_CARRIED} AS html FROM pages), m AS (SELECT *, CASE WHEN {_HAS(pages.DATA)} THEN 'api_json' WHEN {_HAS(pages.MARKED)} THEN 'html_structured' END AS method FROM p)
+       SELECT page_id, method, CAST(least(100, CASE WHEN length(plain) > 900 THEN 30 ELSE 0 END + CASE WHEN {_HAS(pages.ANTI_BOT)} THEN 0 ELSE 25 END + CASE WHEN length(plain) * 2 < 5000 THEN 15 ELSE 0 END
+         + CASE method WHEN 'api_json' THEN 20 WHEN 'html_structured' THEN 10 ELSE 0 END + CASE page_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 0 END) AS BIGINT) AS score FROM m""",
+)
+def _(spark, d):
+    """Each page as a platform's answer: its length stands in for access and, doubled, for the response time; data are easy, marked-up items less so."""
+    rows = table(spark, d, "pages").select("page_id", F.length("html").alias("n"), F.expr(_CARRIED).alias("html")).withColumn("method", pages.scrape_method(F.col("html")))
+    difficulty = F.when(F.col("method") == "api_json", "easy").when(F.col("method").isNotNull(), "medium").otherwise("hard")
+    priority = F.when(F.col("page_id") % 3 == 0, "high").when(F.col("page_id") % 3 == 1, "medium").otherwise("low")
+    score = scores.platform_score(F.col("n") > 900, pages.anti_bot(F.col("html")), F.col("n") * 2, difficulty, priority)
+    return rows.select("page_id", "method", score.cast("long").alias("score"))
+
+
 @query(
     "sc_02_page_titles",
     """WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1) AS t FROM pages)

@@ -44,9 +44,13 @@ def _(spark, d):
     return seq.running_streak(_events(spark, d), "user_id", ["ts", "event_id"], error, ~error).where("streak = 3").select("user_id", "event_id", "streak")
 
 
-@query("sm_06_round_robin", "SELECT n_nationkey, n_name, n_nationkey % 5 AS batch FROM nation")
+@query("sm_06_round_robin", "WITH b AS (SELECT DISTINCT date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) // 6 AS batch FROM events), n AS (SELECT list(n_name ORDER BY n_nationkey) AS names FROM nation) SELECT batch, names[batch % len(names) + 1] AS country FROM b, n WHERE batch >= 0")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", "n_name", (F.col("n_nationkey") % 5).alias("batch"))
+    """The country that each batch of six hours is about."""
+    hours = F.floor((F.unix_seconds("ts") - F.unix_seconds(clock("2024-01-01 00:00:00"))) / 3600)
+    batches = _events(spark, d).select(F.floor(hours / 6).alias("batch")).where("batch >= 0").distinct()
+    names = table(spark, d, "nation").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
+    return batches.crossJoin(F.broadcast(names)).select("batch", streams.in_turn(F.col("batch"), F.col("names")).alias("country"))  # one row
 
 
 @query("sm_08_daily_budget", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) <= 50")

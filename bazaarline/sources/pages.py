@@ -41,6 +41,26 @@ def is_blocked(html: Column) -> Column:
     return F.exists(F.array(*[F.lit(m) for m in BLOCKED]), lambda m: low.contains(m))
 
 
+#: What pages that keep machines out contain, and what pages with data for machines or with marked-up items do.
+ANTI_BOT = ("captcha", "cloudflare", "datadome", "recaptcha", "robot", "access denied", "blocked")
+DATA, MARKED = ('"price"', '"items"', '"products"'), ("itemscope", "data-testid", 'class="product')
+
+
+def _any_of(low: Column, marks) -> Column:
+    return F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: low.contains(m))
+
+
+def anti_bot(html: Column) -> Column:
+    """Whether a page looks like one that keeps machines out."""
+    return _any_of(F.lower(html), ANTI_BOT)
+
+
+def scrape_method(html: Column) -> Column:
+    """``api_json`` for pages with data, ``html_structured`` for marked-up items, else null."""
+    low = F.lower(html)
+    return F.when(_any_of(low, DATA), "api_json").when(_any_of(low, MARKED), "html_structured")
+
+
 def is_sold(html: Column) -> Column:
     words = "|".join(SOLD)
     return F.lower(html).rlike(rf"(?<![a-z0-9_])(?:{words})(?![a-z0-9_])")

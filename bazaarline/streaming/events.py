@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,3 +58,8 @@ def error_streaks(events: DataFrame, key: str = "user_id", threshold: int = 3) -
 def round_robin(batch_id: int, names: list[str]) -> str:
     """The one of ``names`` whose turn it is; for use in ``foreachBatch``."""
     return names[batch_id % len(names)]
+
+
+def in_turn(batch: Column, names: Column) -> Column:
+    """:func:`round_robin` by columns: the one of an array whose turn it is; null for an empty array or a null batch."""
+    return F.try_element_at(names, (F.pmod(batch, F.nullif(F.size(names), F.lit(0))) + 1).cast("int"))
