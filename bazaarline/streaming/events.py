@@ -43,12 +43,13 @@ def error_streaks(events: DataFrame, key: str = "user_id", threshold: int = 3) -
             return
         streak = state.get[0] if state.exists else 0
         for pdf in batches:
-            alerts = []
-            for row in pdf.sort_values(["ts", "event_id"]).itertuples():
-                streak = streak + 1 if row.event_type == "error" else 0
-                if streak == threshold:
-                    alerts.append((name[0], row.event_id, streak))
-            yield pd.DataFrame(alerts, columns=[key, "event_id", "streak"])
+            pdf = pdf.sort_values(["ts", "event_id"])
+            error = pdf["event_type"] == "error"
+            since = (~error).cumsum()  # streaks are told apart by the other events before them
+            streaks = error.groupby(since).cumsum() + since.eq(0) * streak
+            alerts = pdf.loc[error & (streaks == threshold), ["event_id"]]
+            streak = int(streaks.iloc[-1]) if len(pdf) and error.iloc[-1] else 0 if len(pdf) else streak
+            yield alerts.assign(**{key: name[0], "streak": threshold})[[key, "event_id", "streak"]]
         state.update((streak,))
         state.setTimeoutDuration(24 * 3600 * 1000)
 
