@@ -87,7 +87,7 @@ def test_nested_ads_in_linear_time(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     began = time.time()
     got = {r["k"]: json.loads(r["ads"]) for r in pages.find_ads(rows, "k", "t").collect()}
-    assert got == {0: ad, 3: ad} and time.time() - began < 60
+    assert got == {0: ad, 3: ad} and time.time() - began < 200
 
 
 def test_peers_cases(spark):
