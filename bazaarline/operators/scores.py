@@ -188,16 +188,16 @@ def strategist_score(margin: Column, target: Column, liquidity: Column, price: C
 
 
 def border_colour(r: Column, g: Column, b: Column) -> Column:
-    """Colour name of a border's mean; the thresholds are fixed values, the first rule wins."""
-    bright, spread = (r + g + b) / 3, F.greatest(r, g, b) - F.least(r, g, b)
+    """Colour name of a border's mean; the thresholds are fixed values, the first rule wins. Shares are in hundredths, so whole channels are compared exactly."""
+    total, spread = r + g + b, F.greatest(r, g, b) - F.least(r, g, b)
     rules = [
-        ("black", bright < 45),
-        ("silver", (bright > 185) & (spread < 35)),
-        ("gold", (r > 140) & (g > 110) & (b < 95) & (spread > 55) & (r >= g * 0.92)),
-        ("red", (r > 120) & (r > g * 1.5) & (r > b * 1.4)),
-        ("blue", (b > 100) & (b > r * 1.25) & (b >= g)),
-        ("green", (g > 100) & (g > r * 1.2) & (g > b * 1.15)),
-        ("purple", (r > 70) & (b > 70) & (g < r * 0.75) & (g < b * 0.75) & (spread > 30)),
+        ("black", total < 3 * 45),
+        ("silver", (total > 3 * 185) & (spread < 35)),
+        ("gold", (r > 140) & (g > 110) & (b < 95) & (spread > 55) & (r * 100 >= g * 92)),
+        ("red", (r > 120) & (r * 100 > g * 150) & (r * 100 > b * 140)),
+        ("blue", (b > 100) & (b * 100 > r * 125) & (b >= g)),
+        ("green", (g > 100) & (g * 100 > r * 120) & (g * 100 > b * 115)),
+        ("purple", (r > 70) & (b > 70) & (g * 100 < r * 75) & (g * 100 < b * 75) & (spread > 30)),
     ]
     return F.coalesce(*[F.when(test, name) for name, test in rules], F.lit("other"))
 
