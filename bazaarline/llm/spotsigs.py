@@ -8,16 +8,17 @@ running prose and hardly in lists and boilerplate, so the set of a text's
 signatures is its fingerprint.
 
 Near copies are sets alike to ``ALIKE`` by Jaccard similarity
-(:func:`near_classes`). Each set brings only its rarest signatures, so many that
-sets so alike have one in common. Those that several sets bring are blocks, dealt
-out by set size: a partition of sizes and the next one hold all that can be
-alike. In a block every set is compared with a pivot, the one that has most of its
-signatures in common with others, and then with ``PIVOTS`` - 1 more that the first ones
-don't reach; that links the copies of one text without all their pairs. Sets of a block
-that are still in different components are compared if neither their sizes, nor the place of
-the signature among theirs, nor their distances to the pivots rule out the wanted
-likeness. The order of rarity comes from counters of a fixed number, and any order
-gives the same links.
+(:func:`near_classes`). Each set brings its rarest signatures, by counters of a fixed
+number, and some more than it has to, so that sets so alike have several in common. What
+is brought is counted exactly, in one shuffle by signature; a set most of whose signatures no other
+brings has no near copy and is through. Of the others the few rarest signatures that sets so alike
+can't all miss are blocks, dealt out by set size: a partition of sizes and the next one hold all
+that can be alike. In a block every set is compared with ``PIVOTS`` others, the first being the one
+that has most of its signatures in common with others; that links the copies of one text
+without all their pairs. Sets of a block that are still in different components are compared
+in pairs. Two sets are only fetched and compared if neither their sizes, nor the place of the signature among
+theirs, nor their sketches of ``SKETCH`` words, whose bits differ in no more places than the
+sets, rule out the wanted likeness. Any order of signatures gives the same links.
 
 Defined cases: null text counts as empty; a text without signatures has its
 normalised words as its only one, so equal texts always have equal fingerprints;
@@ -48,9 +49,13 @@ ANCHORS = (
 #: Content words in a chain.
 CHAIN = 2
 #: Likeness of near copies, and counters that order signatures by how often they occur.
-ALIKE, COUNTERS = 0.8, 1 << 18
+ALIKE, COUNTERS = 0.8, 1 << 16
+#: Share of the signatures that alike sets surely have in common that prefixes are longer by; the longer, the fewer sets have to be compared.
+SURPLUS = 0.25
+#: Words of 64 bits in a sketch, a power of two.
+SKETCH = 4
 #: Sets of a block that all others are compared with before the rest is compared in pairs.
-PIVOTS = 1
+PIVOTS = 2
 #: Rows for each block that the bounds of blocks are estimated from.
 PER_BOUND = 64
 _END = "."
@@ -118,16 +123,36 @@ def _frequencies(rows: DataFrame) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("c", F.lit(0).cast("tinyint")).alias("c")))), lambda x: x["c"]).alias("_often"))
 
 
+def _left(size: Column, likeness: float) -> Column:
+    """How many of a set's signatures are not looked at: of those that any alike set of its size shares, all but the ``SURPLUS``."""
+    common = F.ceil(size * likeness - 1e-9).cast("int")
+    return common - F.ceil(common * SURPLUS).cast("int")
+
+
 def _prefixes(rows: DataFrame, likeness: float) -> DataFrame:
-    """(_node, _size, _token, _place): of each set as many of its rarest signatures as sets so alike can't all miss.
+    """(_node, _size, _token, _place, _weight): of each set as many of its rarest signatures as sets so alike can't all miss.
 
-    A token is the binary length of a signature's count, then most of its bits, so that tokens are in order of rarity.
+    Each set brings its ``_size - _left`` first signatures in the order of ``_often``; alike sets have at least ``ceil(common * SURPLUS)`` of
+    them in common. Among these, how many sets bring a signature is counted exactly, and that is the order of rarity: what one set alone
+    brings comes first, and a set that has enough of it is through. ``_place`` is the signature's place among what its set brings.
     """
-    token = "shiftleft(cast(element_at(_often, cast(pmod(s, {n}) AS int) + 1) AS bigint), 57) | shiftrightunsigned(s, 7)"
-    rare = F.sort_array(F.expr(f"transform(_sigs, s -> {token.format(n=COUNTERS)})"))
-    take = F.col("_size") - F.ceil(F.col("_size") * likeness - 1e-9).cast("int") + 1
-    placed = rows.crossJoin(F.broadcast(_frequencies(rows))).withColumn("_size", F.size("_sigs"))  # one row, its size fixed by COUNTERS
-    return placed.select("_node", "_size", F.posexplode(F.slice(rare, F.lit(1), take)).alias("_place", "_token"))
+    rare = F.sort_array(F.expr(f"transform(_sigs, s -> struct(element_at(_often, cast(pmod(s, {COUNTERS}) AS int) + 1) AS c, s AS s))"))
+    sized = rows.withColumn("_size", F.size("_sigs"))
+    brought = sized.crossJoin(F.broadcast(_frequencies(rows))).select("_node", "_size", F.explode(F.slice(rare, F.lit(1), F.col("_size") - _left(F.col("_size"), likeness))).alias("_rare")).select("_node", "_size", F.col("_rare.s").alias("_token"))  # one row, its size fixed by COUNTERS
+    # copies have one node
+    held = brought.repartition("_token").groupBy("_token", "_node").agg(F.first("_size").alias("_size"))
+    shared = held.withColumn("_sets", F.count(F.lit(1)).over(Window.partitionBy("_token"))).where("_sets > 1")
+    own = Window.partitionBy("_node")
+    ranked = shared.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_rank", F.row_number().over(own.orderBy("_sets", "_token")))
+    placed = ranked.withColumn("_place", (F.col("_size") - _left(F.col("_size"), likeness) - F.col("_n") + F.col("_rank") - 1).cast("int"))
+    needed = placed.where(F.col("_place") <= F.col("_size") - F.ceil(F.col("_size") * likeness - 1e-9))
+    return needed.select("_node", "_size", "_token", "_place", F.count(F.lit(1)).over(own).alias("_weight"))
+
+
+def sketch(sigs: str, k: int) -> Column:
+    """Word ``k`` of a set's sketch: each signature turns one bit, so two sets differ in as many signatures as their sketches in bits, at least."""
+    mine = f"filter({sigs}, s -> (shiftright(s, 20) & {SKETCH - 1}) = {k})"
+    return F.expr(f"aggregate({mine}, 0L, (x, s) -> x ^ shiftleft(1L, cast(shiftright(s, 30) & 63 AS int)))")
 
 
 def _scored(pairs: DataFrame, rows: DataFrame, at_least: float) -> DataFrame:
@@ -139,61 +164,57 @@ def _scored(pairs: DataFrame, rows: DataFrame, at_least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", jaccard(F.col("s1"), F.col("s2"), at_least).alias("j"))
 
 
-def _bounds(size1: str, size2: str, place1: str, place2: str, likeness: float) -> Column:
-    """Whether sizes, and the places of a common signature that is the first one, leave the wanted likeness possible."""
-    small, large = F.least(size1, size2), F.greatest(size1, size2)
-    # if the signature is the first that both have, so many can be in common at most
-    common = F.least(F.col(size1) - F.col(place1), F.col(size2) - F.col(place2))
-    return (small >= large * F.lit(likeness - 1e-9)) & (common >= (F.col(size1) + F.col(size2)) * F.lit(likeness / (1 + likeness) - 1e-9))
+def _possible(one: str, two: str, likeness: float) -> Column:
+    """Whether sizes, the places of a common signature that is the first one, and sketches leave the wanted likeness possible.
+
+    ``one`` and ``two`` make the names of a set's columns from ``_size``, ``_place`` and ``_sketch0`` on.
+    """
+    size1, size2, place1, place2 = (F.col(x.format(c)) for c in ("_size", "_place") for x in (one, two))
+    left1, left2 = _left(size1, likeness), _left(size2, likeness)
+    # if the signature is the first that both bring, so many that both bring can follow, itself included; what one doesn't bring, both may have besides
+    common = F.least(size1 - left1 - place1, size2 - left2 - place2) + F.greatest(left1, left2)
+    apart = F.expr(" + ".join(f"bit_count({one.format(f'_sketch{k}')} ^ {two.format(f'_sketch{k}')})" for k in range(SKETCH)))
+    both = size1 + size2
+    sizes = F.least(size1, size2) >= F.greatest(size1, size2) * F.lit(likeness - 1e-9)
+    return sizes & (common >= both * F.lit(likeness / (1 + likeness) - 1e-9)) & (apart <= both * F.lit((1 - likeness) / (1 + likeness) + 1e-9))
 
 
 def alike_components(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
     """(node, root): the smallest node that links between alike sets reach, for the nodes of (_node, _sigs) with links."""
-    spark, where = rows.sparkSession, ["_part", "_token"]
+    with work_tables() as made:
+        found = _alike_components(rows, likeness)
+    for path in made[:-1]:  # the last one is the result
+        drop(rows.sparkSession, path)
+    return found
+
+
+def _alike_components(rows: DataFrame, likeness: float) -> DataFrame:
+    where, names = ["_part", "_token"], ["_node", "_size", "_place", *(f"_sketch{k}" for k in range(SKETCH))]
     with work_tables() as first:
         prefixes = keep(_prefixes(rows, likeness), "spot-prefixes")
-        shared = prefixes.groupBy("_token").agg(F.min("_node").alias("lo"), F.max("_node").alias("hi")).where("lo <> hi").select("_token")
-        shared = keep(shared, "spot-shared")
-        members = filtered(prefixes, shared, "_token").join(shared, "_token", "left_semi").groupBy("_token", "_node").agg(F.first("_size").alias("_size"), F.first("_place").alias("_place"))
-        part = size_partition(F.col("_size"), likeness)
-        blocks = finished(members.withColumn("_part", F.explode(F.array(part, part - 1))), "spot-blocks", first)
-    # the set in the middle of copies has most of its signatures in common with others
-    weights = blocks.groupBy("_node").agg(F.count(F.lit(1)).alias("_weight"))
-    live = blocks.join(weights, "_node").withColumns({"_root": F.col("_node"), "_free": F.lit(True), "_js": F.array().cast("array<double>")})
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    before: list[str] = []
-    for _ in range(PIVOTS):
-        with work_tables() as made:
-            pivots = live.groupBy(*where).agg(F.max(F.struct("_free", "_weight", "_node", "_size", "_place", "_root")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-            pivots = pivots.select(*where, F.col("p._node").alias("_pivot"), F.col("p._size").alias("_psize"), F.col("p._place").alias("_pplace"), F.col("p._root").alias("_proot"))
-            placed = keep(live.join(pivots, where), "spot-placed")
-            asked = placed.where((F.col("_node") != F.col("_pivot")) & (F.col("_root") != F.col("_proot")) & _bounds("_size", "_psize", "_place", "_pplace", likeness))
-            near = keep(_scored(asked.select(F.col("_pivot").alias("a"), F.col("_node").alias("b")).distinct(), rows, 0.0), "spot-near")
-            links = keep(links.unionByName(near.where(F.col("j") >= likeness - 1e-9).select("a", "b")), "spot-links")
-            roots = keep(components(links), "spot-roots")
-            known = placed.drop("_root", "_proot", "_free").join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node", "left").join(roots.select(F.col("node").alias("_pivot"), F.col("root").alias("_proot")), "_pivot", "left")
-            known = known.withColumns({"_root": F.coalesce("_root", "_node"), "_proot": F.coalesce("_proot", "_pivot")}).join(near.select(F.col("a").alias("_pivot"), F.col("b").alias("_node"), "j"), ["_pivot", "_node"], "left")
-            # a pivot is through with its block; so is a block all of whose others are of one component
-            rest = known.where("_node <> _pivot").withColumns({"_free": F.col("_root") != F.col("_proot"), "_js": F.array_append("_js", F.col("j"))})
-            open_ = rest.groupBy(*where).agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select(*where)
-            live = keep(rest.join(open_, where, "left_semi").select(*where, "_node", "_size", "_place", "_weight", "_root", "_free", "_js"), "spot-rest")
-            kept_now = made[-1:]
-            kept_now += [p for p in made if "/spot-links-" in p or "/spot-roots-" in p]
-        for path in [*(p for p in made if p not in kept_now), *before]:
-            drop(spark, path)
-        before = kept_now
-        if live.isEmpty():
-            return roots
-    names = ("_node", "_size", "_place", "_root", "_js")
-    one, two = (live.select(*where, *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 2))
+        nodes = keep(prefixes.select("_node").distinct(), "spot-live")
+        sketches = filtered(rows, nodes, "_node").select("_node", *(sketch("_sigs", k).alias(f"_sketch{k}") for k in range(SKETCH)))
+        sketches = sketches.groupBy("_node").agg(*(F.first(f"_sketch{k}").alias(f"_sketch{k}") for k in range(SKETCH)))
+        live = finished(prefixes.join(sketches, "_node"), "spot-sketched", first)
+    part = size_partition(F.col("_size"), likeness)
+    blocks = live.withColumn("_part", F.explode(F.array(part, part - 1)))
+    # the set in the middle of copies shares most of its signatures with others; the other pivots are drawn, as far as blocks have the same sets the same ones
+    picked = [F.max(F.struct((F.xxhash64("_node", F.lit(k)) if k else F.col("_weight")).alias("_by"), *names)) for k in range(PIVOTS)]
+    pivots = blocks.groupBy(*where).agg(F.array(*picked).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*where, "p")
+    asked = blocks.join(pivots, where).withColumn("p", F.explode("p")).where((F.col("_node") != F.col("p._node")) & _possible("{}", "p.{}", likeness))
+    asked = keep(asked.select(F.least("_node", "p._node").alias("a"), F.greatest("_node", "p._node").alias("b")).distinct(), "spot-asked")
+    links = keep(_scored(asked, rows, likeness).where(F.col("j") >= likeness - 1e-9).select("a", "b"), "spot-links")
+    roots = components(links)
+    rooted = live.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
+    rooted = keep(rooted.select("_token", "_root", *names), "spot-rooted").withColumn("_part", F.explode(F.array(part, part - 1)))
+    # a block all of whose sets are of one component is through
+    open_ = rooted.groupBy(*where).agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select(*where)
+    rest = rooted.join(open_, where, "left_semi")
+    one, two = (rest.select(*where, *[F.col(c).alias(f"{c}{k}") for c in ("_root", *names)]) for k in (1, 2))
     ordered = (F.col("_size1") < F.col("_size2")) | ((F.col("_size1") == F.col("_size2")) & (F.col("_node1") < F.col("_node2")))
-    # 1 - likeness is a metric, so sets that are alike are as far from each pivot; null is not known
-    distances = F.forall(F.zip_with("_js1", "_js2", lambda x, y: F.coalesce(F.abs(x - y) <= 1 - likeness + 1e-9, F.lit(True))), lambda x: x)
-    pairs = one.join(two, where).where(ordered & (F.col("_root1") != F.col("_root2")) & _bounds("_size1", "_size2", "_place1", "_place2", likeness) & distances)
+    once = size_partition(F.col("_size1"), likeness) == F.col("_part")  # others meet in the smaller one's other partition too
+    pairs = one.join(two, where).where(ordered & once & (F.col("_root1") != F.col("_root2")) & _possible("{}1", "{}2", likeness))
     pairs = keep(pairs.select(F.col("_node1").alias("a"), F.col("_node2").alias("b")).distinct(), "spot-pairs")
-    if pairs.isEmpty():
-        return roots
     more = _scored(pairs, rows, likeness).where(F.col("j") >= likeness - 1e-9).select("a", "b")
     return components(links.unionByName(more))
 
@@ -205,8 +226,9 @@ def near_classes(rows: DataFrame, likeness: float = ALIKE) -> DataFrame:
     reach. Equal sets are one node; nodes are 64-bit digests of fingerprints.
     """
     rows = rows.withColumn("_node", F.xxhash64("fingerprint"))
-    least = keep(rows.groupBy("fingerprint", "_node").agg(F.min("_id").alias("_least")), "spot-least")
-    sets = rows.select("_node", F.col("signatures").alias("_sigs"))
+    least = keep(rows.groupBy("fingerprint", "_node").agg(F.min("_id").alias("_least")).withColumn("_lead", F.xxhash64("_node", "_least")), "spot-least")
+    # of copies about one brings its set; which others do is of no matter
+    sets = filtered(rows.withColumn("_lead", F.xxhash64("_node", "_id")), least, "_lead").select("_node", F.col("signatures").alias("_sigs"))
     named = component_ids(least.select("_node", "_least"), alike_components(sets, likeness))
     return least.select("fingerprint", "_node").join(named, "_node").select("fingerprint", F.col("component_id").alias("near_class"))
 

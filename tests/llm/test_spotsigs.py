@@ -143,6 +143,35 @@ def test_links_of_one_hot_block(spark):
     assert [root.get(k, k) for k in range(len(sets))] == label
 
 
+def test_unlike_sets_of_a_hot_block_are_not_fetched(spark, monkeypatch):
+    """Some 45,000 pairs of sets that share most of their signatures, one in forty of them alike."""
+    rng = random.Random(11)
+    pool = [rng.getrandbits(64) - (1 << 63) for _ in range(29)]
+    sets = sorted({tuple(sorted(rng.sample(pool, 24))) for _ in range(300)})
+    asked, scored = [], spotsigs._scored
+    monkeypatch.setattr(spotsigs, "_scored", lambda pairs, *a: asked.append(pairs.count()) or scored(pairs, *a))
+    rows = spark.createDataFrame(list(enumerate(map(list, sets))), "_node long, _sigs array<long>").repartition(4)
+    root = {r.node: r.root for r in spotsigs.alike_components(rows).collect()}
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if plain_jaccard(set(sets[i]), set(sets[j])) >= 0.8 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert [root.get(k, k) for k in range(len(sets))] == label
+    assert sum(asked) < 5000
+
+
+def test_sets_with_signatures_of_their_own_are_through(spark, monkeypatch):
+    """Though counters tell nothing, sets that share signatures by chance bring hardly any."""
+    monkeypatch.setattr(spotsigs, "COUNTERS", 1)
+    rng = random.Random(12)
+    pool = [rng.getrandbits(64) - (1 << 63) for _ in range(200)]
+    sets = [[*rng.sample(pool, 10), *(rng.getrandbits(64) - (1 << 63) for _ in range(30))] for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(sets)), "_node long, _sigs array<long>")
+    assert spotsigs._prefixes(rows, 0.8).count() < 200
+
+
 def test_size_partitions_are_neighbours(spark):
     rows = spark.range(1, 400).select(F.col("id").cast("int").alias("n"), spotsigs.size_partition(F.col("id"), 0.8).alias("p")).collect()
     part = {r.n: r.p for r in rows}
